@@ -1,0 +1,48 @@
+"""The whole run: clean, route, retrieve, score, decide."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from claimcheck.config import PipelineConfig
+from claimcheck.functions.vectors import Encoder, HashingEncoder
+from claimcheck.operators import cascade, decide, evidence, retrieval
+from claimcheck.operators.clean import clean_claims
+from claimcheck.scorers import Scorers, lexical_scorers
+
+
+def evidence_stage(
+    claims: DataFrame,
+    index: DataFrame,
+    config: PipelineConfig,
+    scorers: Scorers,
+    encoder: Encoder,
+    limits: retrieval.BlockLimits = retrieval.BlockLimits(),
+) -> DataFrame:
+    cleaned = clean_claims(claims)
+    if not config.router.enabled:
+        return evidence.without_router(cleaned)
+    return evidence.select_evidence(cleaned, index, config, encoder, scorers, limits)
+
+
+def run(
+    claims: DataFrame,
+    index: DataFrame,
+    config: PipelineConfig | None = None,
+    scorers: Scorers | None = None,
+    encoder: Encoder | None = None,
+    log: DataFrame | None = None,
+    exemplars: DataFrame | None = None,
+    limits: retrieval.BlockLimits = retrieval.BlockLimits(),
+) -> DataFrame:
+    """Scored and labelled claims; ``decide.debug_table`` and ``decide.submission`` read it."""
+    config = config or PipelineConfig()
+    scorers = scorers or lexical_scorers(config.router.cues)
+    encoder = encoder or HashingEncoder()
+    rows = evidence_stage(claims, index, config, scorers, encoder, limits)
+    if config.exemplar_top_k > 0 and exemplars is not None:
+        hits = retrieval.exemplar_hits(
+            rows, exemplars, encoder, k=config.exemplar_top_k, limits=limits
+        )
+        rows = rows.join(retrieval.exemplar_lists(hits, exemplars), "id", "left")
+    return decide.label_claims(cascade.score_claims(rows, config, scorers, log), config)
