@@ -9,11 +9,12 @@ from __future__ import annotations
 import functools
 import operator
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimcheck.rules.cues import Predicate
 
@@ -27,7 +28,7 @@ MISSING_WORDS = ("", "[NULL]", "None", "nan")
 # --- end of fixed values ------------------------------------------------------------
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _nfc_udf(texts: pa.Array) -> pa.Array:
     return pa.array(
         [None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()],
@@ -45,6 +46,15 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc_udf(doubtful), text)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times.
+
+    A column that a lambda captures is evaluated for every element; as the element of a
+    one-item array it is a bound variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not blanks only."""
     return F.regexp_replace(text, EDGES, "")
@@ -78,25 +88,33 @@ def truncate_words(text: Column, limit: int | None) -> Column:
     """First ``limit`` words; a text within the limit keeps its own spacing."""
     if limit is None or limit <= 0:
         return text
-    parts = words(text)
-    return F.when(F.size(parts) <= limit, text).otherwise(
-        F.array_join(F.slice(parts, 1, limit), " ")
+    return let(
+        words(text),
+        lambda parts: F.when(F.size(parts) <= limit, text).otherwise(
+            F.array_join(F.slice(parts, 1, limit), " ")
+        ),
     )
 
 
 def word_windows(text: Column, size: int = 220, overlap: int = 50, min_chars: int = 50) -> Column:
     """Sliding word windows as an array of ``(chunk_no, text)``; short windows are dropped."""
     step = max(1, size - overlap)
-    parts = words(text)
-    starts = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1, F.lit(step)))
-    windows = F.transform(
-        starts,
-        lambda s, i: F.struct(
-            i.alias("chunk_no"),
-            F.array_join(F.slice(parts, s + 1, F.lit(size)), " ").alias("text"),
-        ),
-    )
-    return F.filter(windows, lambda w: F.length(w["text"]) >= min_chars)
+
+    def windows(parts: Column) -> Column:
+        starts = F.when(
+            F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1, F.lit(step))
+        )
+        return F.transform(
+            starts,
+            lambda s, i: F.named_struct(
+                F.lit("chunk_no"),
+                i,
+                F.lit("text"),
+                F.array_join(F.slice(parts, s + 1, F.lit(size)), " "),
+            ),
+        )
+
+    return F.filter(let(words(text), windows), lambda w: F.length(w["text"]) >= min_chars)
 
 
 def contains_any(text: Column, cues: Iterable[str]) -> Column:
@@ -129,7 +147,8 @@ def quoted_lemma(text: Column) -> Column:
     """Longest quoted stretch, the first one on a tie; NULL when there is none."""
     found = F.transform(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1)), strip)
     ranked = F.transform(
-        found, lambda q, i: F.struct(F.length(q).alias("n"), (-i).alias("first"), q.alias("q"))
+        found,
+        lambda q, i: F.named_struct(F.lit("n"), F.length(q), F.lit("first"), -i, F.lit("q"), q),
     )
     best = F.array_max(ranked)["q"]
     return F.when(best != "", best)
@@ -151,30 +170,34 @@ def long_tokens(text: Column, min_chars: int) -> Column:
 
 
 def token_hits(text: Column, tokens: Column) -> Column:
-    return F.size(F.filter(tokens, lambda t: F.contains(text, t)))
+    """How many of the tokens occur in the text."""
+    return let(
+        text, lambda body: F.size(F.filter(tokens, lambda t: F.contains(body, t)))
+    )
 
 
 def answer_in_premise(premise: Column, answer: Column, min_share: float = 0.3) -> Column:
     """Guard for accepting an answer as supported: enough of its words occur in the premise."""
     premise = F.coalesce(premise, F.lit(""))
     bare = strip(F.translate(F.coalesce(answer, F.lit("")), "*_", ""))
-    tokens = long_tokens(bare, 3)
-    short = long_tokens(bare, 2)
-    enough = F.when(
-        F.size(tokens) > 0,
-        token_hits(premise, tokens) / F.size(tokens) >= F.lit(float(min_share)),
-    ).otherwise(F.exists(short, lambda t: F.contains(premise, t)))
-    return (
-        F.when((F.length(bare) < 2) | (strip(premise) == ""), F.lit(False))
-        .when(F.contains(premise, bare), F.lit(True))
-        .otherwise(enough)
-    )
+
+    def supported(b: Column) -> Column:
+        tokens, short = long_tokens(b, 3), long_tokens(b, 2)
+        enough = F.when(
+            F.size(tokens) > 0,
+            token_hits(premise, tokens) / F.size(tokens) >= F.lit(float(min_share)),
+        ).otherwise(token_hits(premise, short) > 0)
+        return (
+            F.when((F.length(b) < 2) | (strip(premise) == ""), F.lit(False))
+            .when(F.contains(premise, b), F.lit(True))
+            .otherwise(enough)
+        )
+
+    return let(bare, supported)
 
 
 def evidence_irrelevant(prompt: Column, evidence: Column) -> Column:
     """No word of the question occurs in the evidence (missing evidence counts as irrelevant)."""
-    prompt = F.coalesce(prompt, F.lit(""))
-    tokens = long_tokens(prompt, 3)
-    body = strip(evidence)
-    none_hit = (F.size(tokens) > 0) & ~F.exists(tokens, lambda t: F.contains(body, t))
+    tokens = long_tokens(F.coalesce(prompt, F.lit("")), 3)
+    none_hit = (F.size(tokens) > 0) & (token_hits(strip(evidence), tokens) == 0)
     return F.when(is_missing(evidence), F.lit(True)).otherwise(none_hit)

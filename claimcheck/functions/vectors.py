@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimcheck.functions import text as tx
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -25,8 +27,12 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Unit vector as float array; a zero vector stays as it is."""
-    norm = l2_norm(v)
-    return F.when(norm > 0, F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(v)
+    return tx.let(
+        l2_norm(v),
+        lambda norm: F.when(norm > 0, F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(
+            v.cast("array<float>")
+        ),
+    )
 
 
 class Encoder(Protocol):

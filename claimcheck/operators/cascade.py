@@ -43,7 +43,7 @@ def run_stage(df: DataFrame, scorer: Scorer, out: str, where: Column) -> DataFra
     """
     if not scorer.costly:
         return df.withColumn(out, scorer.column(where))
-    base = materialize(df.withColumn("_todo", F.coalesce(where, F.lit(False))))
+    base = materialize(df.withColumn("_todo", F.coalesce(where, F.lit(False))), "open")
     order = [c for c in ("think_budget",) if c in df.columns]
     todo = (
         base.where("_todo")

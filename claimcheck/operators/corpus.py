@@ -57,16 +57,17 @@ def category_lines(text: Column, pack: CategoryPack) -> Column:
             ok = ok & ~F.endswith(line, F.lit(end))
         return ok
 
-    others = F.filter(
-        F.transform(lines, lambda x, i: F.when(~is_category(x), i)), lambda i: i.isNotNull()
-    )
-    stop = F.get(
-        F.filter(
+    def from_bottom(ls: Column) -> Column:
+        others = F.filter(
+            F.transform(ls, lambda x, i: F.when(~is_category(x), i)), lambda i: i.isNotNull()
+        )
+        stops = F.filter(
             F.transform(others, lambda p, m: F.when(p - m >= 3, p)), lambda p: p.isNotNull()
-        ),
-        F.lit(0),
-    )
-    return F.filter(F.slice(lines, F.lit(1), F.coalesce(stop, F.size(lines))), is_category)
+        )
+        stop = F.coalesce(F.get(stops, F.lit(0)), F.size(ls))
+        return F.filter(F.slice(ls, F.lit(1), stop), is_category)
+
+    return tx.let(lines, from_bottom)
 
 
 def _announces(rule: ClassRule, line: Column) -> Column:

@@ -200,10 +200,10 @@ def wrong_budgets(judged: DataFrame) -> DataFrame:
 
 
 def wrong_reasons(judged: DataFrame, top: int = 10) -> DataFrame:
-    reason = F.explode(F.split(F.coalesce("think_reasons", F.lit("")), r"\|"))
+    reasons = F.split(F.coalesce("think_reasons", F.lit("")), r"\|")
     return (
         judged.where(~F.col("correct"))
-        .select(F.trim(reason).alias("reason"))
+        .select(F.explode(F.transform(reasons, F.trim)).alias("reason"))
         .where(F.col("reason") != "")
         .groupBy("reason")
         .agg(F.count("*").alias("n"))

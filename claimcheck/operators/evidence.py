@@ -193,11 +193,10 @@ def select_evidence(
     claims = keep_original_context(claims)
     category = scorers.category if scorers else None
     routed = route_claims(claims, config.router, category)
-    if category is not None and category.costly:
-        routed = materialize(routed)
-    rows = with_available_source(
-        with_policy(routed, config.router.cues), index, config.retrieval.sources
-    )
+    # Read by the search and by the join back, and deep enough that pushing a filter
+    # through its expressions would multiply them.
+    routed = materialize(with_policy(routed, config.router.cues), "routed")
+    rows = with_available_source(routed, index, config.retrieval.sources)
     queries = retrieval_queries(rows, config.retrieval)
     hits = retrieval.topk_join(
         queries.select("qid", "source", encode_text(encoder)(F.col("query")).alias("qvec")),
@@ -209,7 +208,7 @@ def select_evidence(
         limits=limits,
     )
     # Partitioned by claim once: both groupings and the join back reuse it.
-    texts = retrieval.hit_texts(materialize(hits), index).repartition("qid")
+    texts = retrieval.hit_texts(materialize(hits, "hits"), index).repartition("qid")
     found = retrieval.evidence_of_hits(
         texts, ["qid", "source"], config.retrieval.max_evidence_tokens
     )

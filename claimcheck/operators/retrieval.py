@@ -532,7 +532,7 @@ def exemplar_lists(hits: DataFrame, exemplars: DataFrame) -> DataFrame:
     joined = hits.join(shots.join(needed, "passage_id", "left_semi"), "passage_id")
     ranked = F.array_sort(F.collect_list(F.struct("rank", *fields)))
     return joined.groupBy(F.col("qid").alias("id")).agg(
-        F.transform(ranked, lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(
-            "exemplars"
-        )
+        F.transform(
+            ranked, lambda r: F.named_struct(*[x for f in fields for x in (F.lit(f), r[f])])
+        ).alias("exemplars")
     )

@@ -9,6 +9,7 @@ from claimcheck.functions.vectors import Encoder, HashingEncoder
 from claimcheck.operators import cascade, decide, evidence, retrieval
 from claimcheck.operators.clean import clean_claims
 from claimcheck.scorers import Scorers, lexical_scorers
+from claimcheck.session import materialize
 
 
 def evidence_stage(
@@ -45,4 +46,5 @@ def run(
             rows, exemplars, encoder, k=config.exemplar_top_k, limits=limits
         )
         rows = rows.join(retrieval.exemplar_lists(hits, exemplars), "id", "left")
-    return decide.label_claims(cascade.score_claims(rows, config, scorers, log), config)
+    scored = materialize(cascade.score_claims(rows, config, scorers, log), "scored")
+    return decide.label_claims(scored, config)

@@ -103,44 +103,62 @@ class Scorers:
 # --- built-in lexical scorers: deterministic stand-ins for real models -------------------
 
 
-def _overlap(evidence: Column, response: Column) -> tuple[Column, Column]:
-    """Distinct answer words of three characters and more: how many, and how many occur."""
-    tokens = F.array_distinct(tx.long_tokens(F.coalesce(response, F.lit("")), 3))
-    return tx.token_hits(F.coalesce(evidence, F.lit("")), tokens), F.size(tokens)
+# Answers paraphrase, so a word that is found weighs as much as this many that are not.
+HIT_WEIGHT = 4
+
+
+def _with_overlap(
+    evidence: Column, response: Column, body: Callable[[Column, Column], Column]
+) -> Column:
+    """``body(hits, total)``: answer words of two characters and more, found and in all."""
+    tokens = tx.long_tokens(F.coalesce(response, F.lit("")), 2)
+    hits = tx.token_hits(F.coalesce(evidence, F.lit("")), tokens)
+    counts = F.struct(hits.alias("hits"), F.size(tokens).alias("total"))
+    return tx.let(counts, lambda c: body(c["hits"], c["total"]))
 
 
 def lexical_fast(evidence: Column, prompt: Column, response: Column) -> Column:
-    """Smoothed share of answer words found in the evidence, or in the question without any."""
-    hits, total = _overlap(F.coalesce(tx.present(evidence), prompt), response)
-    return F.round((hits + F.lit(1.0)) / (total + F.lit(2.0)), 6)
+    """Smoothed weight of answer words found in the evidence, or in the question without any."""
+
+    def score(hits: Column, total: Column) -> Column:
+        found = hits * HIT_WEIGHT
+        return F.round((found + F.lit(1.0)) / (total - hits + found + F.lit(2.0)), 6)
+
+    return _with_overlap(F.coalesce(tx.present(evidence), prompt), response, score)
 
 
 def lexical_nli(premise: Column, hypothesis: Column) -> Column:
-    hits, total = _overlap(premise, hypothesis)
-    share = F.round(F.coalesce(F.try_divide(hits, total), F.lit(0.0)), 6)
-    return F.struct(
-        share.alias("p_entail"),
-        F.round((1 - share) * 0.6, 6).alias("p_contradict"),
-        F.round((1 - share) * 0.4, 6).alias("p_neutral"),
+    def entail(hits: Column, total: Column) -> Column:
+        found = hits * HIT_WEIGHT
+        share = F.try_divide(found, total - hits + found)
+        return F.round(F.coalesce(share, F.lit(0.0)), 6)
+
+    return tx.let(
+        _with_overlap(premise, hypothesis, entail),
+        lambda e: F.named_struct(
+            F.lit("p_entail"),
+            e,
+            F.lit("p_contradict"),
+            F.round((1 - e) * 0.6, 6),
+            F.lit("p_neutral"),
+            F.round((1 - e) * 0.4, 6),
+        ),
     )
 
 
 def lexical_think(evidence: Column, prompt: Column, response: Column) -> Column:
-    """Answer text in the shape a reasoning model gives; undecided when nothing overlaps."""
-    hits, total = _overlap(F.coalesce(tx.present(evidence), prompt), response)
-    verdict = (
-        F.when(hits * 2 >= total, F.lit("verdict: Faithful"))
-        .when(hits * 10 >= total, F.lit("verdict: Hallucinated"))
-        .otherwise(F.lit("no decision"))
-    )
-    return F.concat(
-        F.lit("Found "),
-        hits.cast("string"),
-        F.lit(" of "),
-        total.cast("string"),
-        F.lit(" words.\n"),
-        verdict,
-    )
+    """Answer text in the shape a reasoning model gives; undecided when little overlaps."""
+
+    def answer(hits: Column, total: Column) -> Column:
+        verdict = (
+            F.when(hits * 5 >= total, F.lit("verdict: Faithful"))
+            .when(hits * 10 >= total, F.lit("verdict: Hallucinated"))
+            .otherwise(F.lit("no decision"))
+        )
+        found = F.format_string("Found %d of %d words.\n", hits, total)
+        return F.concat(found, verdict)
+
+    return _with_overlap(F.coalesce(tx.present(evidence), prompt), response, answer)
 
 
 def lexical_category(cues: CuePack) -> Callable[[Column, Column], Column]:
@@ -184,14 +202,17 @@ def _batch_overlap(row_texts: pd.DataFrame) -> list[tuple[int, int]]:
     found = []
     for evidence, prompt, response in row_texts.itertuples(index=False):
         body = evidence or prompt or ""
-        tokens = {t for t in (response or "").split() if len(t) >= 3}
+        tokens = [t for t in (response or "").split() if len(t) >= 2]
         found.append((sum(t in body for t in tokens), len(tokens)))
     return found
 
 
 def _load_batch_fast() -> Callable[[pd.DataFrame], pd.Series]:
     def score(batch: pd.DataFrame) -> pd.Series:
-        values = [round((h + 1.0) / (n + 2.0), 6) for h, n in _batch_overlap(batch)]
+        values = [
+            round((HIT_WEIGHT * h + 1.0) / (n - h + HIT_WEIGHT * h + 2.0), 6)
+            for h, n in _batch_overlap(batch)
+        ]
         return pd.Series(values, index=batch.index)
 
     return score
@@ -202,7 +223,7 @@ def _load_batch_think() -> Callable[[pd.DataFrame], pd.Series]:
         texts = []
         for h, n in _batch_overlap(batch):
             verdict = "no decision"
-            if h * 2 >= n:
+            if h * 5 >= n:
                 verdict = "verdict: Faithful"
             elif h * 10 >= n:
                 verdict = "verdict: Hallucinated"

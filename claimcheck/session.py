@@ -5,8 +5,10 @@ from __future__ import annotations
 import contextlib
 import io
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,7 @@ def local_session(cores: str = "8", app: str = "claimcheck", memory: str = "16g"
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,10 +52,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"claimcheck-{name}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Store a frame that several branches read, so a lost executor costs no recompute."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Store a stage as a table in the shared folder and read it back.
+
+    Cuts lineage (a lost executor costs no recompute), lets several branches read the
+    stage, and keeps later filters from being pushed through its expressions.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def plan_text(df: DataFrame) -> str:
@@ -61,3 +69,20 @@ def plan_text(df: DataFrame) -> str:
     with contextlib.redirect_stdout(out):
         df.explain("formatted")
     return out.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per Spark context).
+
+    A cluster job may pass it with ``--py-files`` instead; then this changes nothing.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_claimcheck_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="claimcheck-py-")) / "claimcheck.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for module in sorted(root.rglob("*.py")):
+            archive.write(module, pathlib.Path(root.name) / module.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._claimcheck_shipped = True
