@@ -637,7 +637,7 @@ _PLAIN: dict[str, str] = {
         LEFT JOIN passages p ON p.source = s.source GROUP BY s.source""",
     "embedded_passages": """SELECT source, passage_id, b AS bucket, c::INTEGER AS weight
         FROM passage_terms""",
-    "unit_vectors": """SELECT vec_id, norm, pos - 1 AS pos, round((v / norm_full)::FLOAT::DOUBLE, 4) AS value FROM (
+    "unit_vectors": """SELECT vec_id, norm, pos - 1 AS pos, round((v / norm_full)::FLOAT::DOUBLE, 4) + 0::DOUBLE AS value FROM (
         SELECT vec_id, round(norm_full, 4) AS norm, norm_full, unnest(e) AS v,
             generate_subscripts(e, 1)::INTEGER AS pos
         FROM (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm_full

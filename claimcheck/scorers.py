@@ -7,6 +7,7 @@ where it holds, because a Python UDF inside ``when`` would still see every row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -209,8 +210,9 @@ def _batch_overlap(row_texts: pd.DataFrame) -> list[tuple[int, int]]:
 
 def _load_batch_fast() -> Callable[[pd.DataFrame], pd.Series]:
     def score(batch: pd.DataFrame) -> pd.Series:
+        # Rounded half up, as Spark does.
         values = [
-            round((HIT_WEIGHT * h + 1.0) / (n - h + HIT_WEIGHT * h + 2.0), 6)
+            math.floor((HIT_WEIGHT * h + 1.0) / (n - h + HIT_WEIGHT * h + 2.0) * 1e6 + 0.5) / 1e6
             for h, n in _batch_overlap(batch)
         ]
         return pd.Series(values, index=batch.index)
