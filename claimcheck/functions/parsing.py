@@ -28,9 +28,12 @@ HEADER_WORDS = ("reworded", "bucket", "category")
 # --- end of fixed values --------------------------------------------------------------------
 
 
+# Only the digits need Unicode mode, so they are named directly.
+BULLET_JAVA = BULLET.replace(r"\d", r"\p{Nd}").replace(r"\s*", tx.SPACES[:-1] + "*")
+
+
 def _field(text: Column, pattern: str) -> Column:
-    found = F.regexp_extract(text, f"(?isU){pattern}", 1)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, f"(?isU){pattern}", 1), F.lit(""))
 
 
 def parse_verdict(text: Column) -> Column:
@@ -55,33 +58,42 @@ def clean_model_output(raw: Column) -> Column:
     """Drop the reasoning block, code fences and everything from an echoed input on."""
     body = tx.strip(F.regexp_replace(raw, f"(?s){THINK_BLOCK}", ""))
     body = tx.strip(F.regexp_replace(body, FENCE, ""))
-    echoed = F.contains(F.lower(body), F.lit("input text:"))
-    return F.when(echoed, tx.strip(F.split(body, f"(?iU){ECHO}", 2)[0])).otherwise(body)
+
+    def before_echo(text: Column) -> Column:
+        echoed = F.contains(F.lower(text), F.lit("input text:"))
+        return F.when(echoed, tx.strip(F.split(text, f"(?iU){ECHO}", 2)[0])).otherwise(text)
+
+    return tx.let(body, before_echo)
 
 
 def parse_bucket(text: Column) -> Column:
     """First word that is a bucket alias, else the first alias that occurs anywhere."""
     plain = F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_\-]+", " ")
-    known = [F.lit(alias) for alias in buckets.ALIASES]
-    word = F.get(
-        F.filter(F.split(plain, " "), lambda t: F.array_contains(F.array(*known), t)), F.lit(0)
-    )
-    inside = F.coalesce(
-        *[F.when(F.contains(plain, F.lit(a)), F.lit(b)) for a, b in buckets.ALIASES.items()]
-    )
-    return F.coalesce(lookup(buckets.ALIASES, word), inside)
+
+    def find(p: Column) -> Column:
+        known = F.array(*[F.lit(alias) for alias in buckets.ALIASES])
+        word = F.get(F.filter(F.split(p, " "), lambda t: F.array_contains(known, t)), F.lit(0))
+        inside = F.coalesce(
+            *[F.when(F.contains(p, F.lit(a)), F.lit(b)) for a, b in buckets.ALIASES.items()]
+        )
+        return F.coalesce(lookup(buckets.ALIASES, word), inside)
+
+    return tx.let(plain, find)
 
 
 def output_bucket(cleaned: Column) -> Column:
-    stated = _field(cleaned, BUCKET_FIELD)
-    return F.when(stated.isNotNull(), parse_bucket(stated)).otherwise(parse_bucket(cleaned))
+    return parse_bucket(F.coalesce(_field(cleaned, BUCKET_FIELD), cleaned))
 
 
 def output_rewording(cleaned: Column, original: Column) -> Column:
     """Reworded text of the answer, or the original when the answer has none."""
     stated = F.coalesce(_field(cleaned, REWORDED_FIELD), _field(cleaned, TEXT_FIELD))
-    repaired = tx.strip(F.translate(tx.strip(stated), "�", ""))
-    return F.when(stated.isNotNull(), repaired).otherwise(original)
+    return tx.let(
+        stated,
+        lambda s: F.when(
+            s.isNotNull(), tx.strip(F.translate(tx.strip(s), "\ufffd", ""))
+        ).otherwise(original),
+    )
 
 
 def fact_lines(rewording: Column) -> Column:
@@ -96,6 +108,6 @@ def fact_lines(rewording: Column) -> Column:
         return keep
 
     bare = F.transform(
-        F.filter(lines, is_fact), lambda f: tx.strip(F.regexp_replace(f, f"(?U){BULLET}", ""))
+        F.filter(lines, is_fact), lambda f: tx.strip(F.regexp_replace(f, BULLET_JAVA, ""))
     )
     return F.filter(bare, lambda f: f != "")

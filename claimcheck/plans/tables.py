@@ -147,7 +147,7 @@ def sort_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     Documents become objects whose text key depends on the language (blank for German),
     benchmark items bare text, and conversation turns arrays.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     lang = F.col("lang")
     key = F.when(lang == "fr", "passage").when(lang == "es", "content").otherwise("text")
     body = F.when(lang == "de", F.lit("  ")).otherwise(F.col("text"))
