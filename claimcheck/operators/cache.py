@@ -151,24 +151,39 @@ def checkpoint_check(
             same = same & F.col(name).cast("string").eqNullSafe(F.lit(str(expected)))
     else:
         same = F.lit(False)
-    left = saved.select(F.col(key).alias("_saved"), finite.alias("_ok"), same.alias("_same"))
-    right = claims.select(F.col(key).alias("_expected"))
+    left = (
+        saved.select(F.col(key).alias("_saved"), finite.alias("_ok"), same.alias("_same"))
+        .groupBy("_saved")
+        .agg(
+            F.count("*").alias("_n"),
+            F.count_if(~F.col("_ok")).alias("_bad"),
+            F.count_if(~F.col("_same")).alias("_foreign"),
+        )
+    )
+    right = claims.groupBy(F.col(key).alias("_expected")).agg(F.count("*").alias("_m"))
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0))
+
     both = left.join(right, F.col("_saved") == F.col("_expected"), "full")
     report = both.agg(
-        F.count("_saved").alias("n_saved"),
-        F.count("_expected").alias("n_expected"),
-        F.count_if(F.col("_saved").isNull()).alias("n_missing"),
-        F.count_if(F.col("_expected").isNull()).alias("n_unexpected"),
-        F.count_if(F.col("_saved").isNotNull() & ~F.col("_ok")).alias("n_not_finite"),
-        F.count_if(F.col("_saved").isNotNull() & ~F.col("_same")).alias("n_other_settings"),
-    )
-    clean = (
-        (F.col("n_missing") == 0)
-        & (F.col("n_unexpected") == 0)
-        & (F.col("n_saved") == F.col("n_expected"))
-        & (F.col("n_not_finite") == 0)
-        & (F.col("n_other_settings") == 0)
+        total("_n").alias("n_saved"),
+        total("_m").alias("n_expected"),
+        F.count_if(F.col("_n").isNull()).alias("n_missing"),
+        F.count_if(F.col("_m").isNull()).alias("n_unexpected"),
+        F.count_if(F.col("_n") != F.col("_m")).alias("n_other_count"),
+        total("_bad").alias("n_not_finite"),
+        total("_foreign").alias("n_other_settings"),
     )
+    clean = F.lit(True)
+    for problem in (
+        "n_missing",
+        "n_unexpected",
+        "n_other_count",
+        "n_not_finite",
+        "n_other_settings",
+    ):
+        clean = clean & (F.col(problem) == 0)
     return report.withColumn("valid", clean)
 
 

@@ -189,9 +189,10 @@ def related_pages(
 def counterpart_passages(
     related: DataFrame, en_articles: DataFrame, min_chars: int = 100
 ) -> DataFrame:
-    """Texts of the related pages that are longer than a stub."""
-    bodies = en_articles.where(F.length(tx.strip(F.col("text"))) > min_chars)
-    joined = related.join(bodies.select("en_title", "text"), "en_title")
+    """Texts of the related pages that are longer than a stub; a title has one text."""
+    texts = en_articles.groupBy("en_title").agg(F.min("text").alias("text"))
+    bodies = texts.where(F.length(tx.strip(F.col("text"))) > min_chars)
+    joined = related.join(bodies, "en_title")
     return joined.select("category", "en_title", F.concat_ws("\n", "en_title", "text").alias("text"))
 
 

@@ -800,10 +800,11 @@ _PLAIN: dict[str, str] = {
         coalesce(context_original, '[NULL]'), prompt_bn, response_bn, task_type, rag_source,
         rag_skipped_reason, evidence_source)) AS h FROM filled))""",
     "checkpoint_check": """SELECT * FROM (SELECT count(*) AS n_saved, count(*) AS n_expected,
-            0::BIGINT AS n_missing, 0::BIGINT AS n_unexpected, 0::BIGINT AS n_not_finite,
-            0::BIGINT AS n_other_settings, true AS valid, 'good' AS "case" FROM claims)
-        UNION ALL SELECT count(*), count(*), 0, 0, 0, count(*), false, 'other settings' FROM claims
-        UNION ALL SELECT count(*), count(context), 0, count(*) - count(context), 0, 0, false,
+            0::BIGINT AS n_missing, 0::BIGINT AS n_unexpected, 0::BIGINT AS n_other_count,
+            0::BIGINT AS n_not_finite, 0::BIGINT AS n_other_settings, true AS valid, 'good' AS "case"
+            FROM claims)
+        UNION ALL SELECT count(*), count(*), 0, 0, 0, 0, count(*), false, 'other settings' FROM claims
+        UNION ALL SELECT count(*), count(context), 0, count(*) - count(context), 0, 0, 0, false,
             'other claims' FROM claims""",
     "stream_scoring": """SELECT case_key, p_fast, p_llm AS p_llm_final, triggered_think, nli_applied
         FROM labelled""",
@@ -821,7 +822,8 @@ _PLAIN: dict[str, str] = {
     "resolved_titles": "SELECT category, title, en_title FROM resolved_titles",
     "related_pages": "SELECT category, title, en_title FROM related",
     "counterpart_passages": f"""SELECT r.category, r.en_title, a.title || chr(10) || a.text AS text
-        FROM related r JOIN articles a ON a.title = r.en_title WHERE length({strip("a.text")}) > 100""",
+        FROM related r JOIN (SELECT title, min(text) AS text FROM articles GROUP BY title) a
+            ON a.title = r.en_title WHERE length({strip("a.text")}) > 100""",
     "sort_line_errors": "SELECT line_no, input_text, error FROM sorted",
     "sorted_lines": """SELECT line_no, bucket AS parsed_bucket, unparsed, error,
         len(facts)::INTEGER AS n_facts, reworded FROM sorted""",

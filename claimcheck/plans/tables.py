@@ -80,12 +80,12 @@ def _source(lang: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all tasks when a table has fewer files than there are cores.
+    """Deal rows out to all tasks when a scan has fewer splits than there are cores.
 
-    Splitting and encoding texts is heavy per row; a table of many files is left alone.
+    Splitting and encoding texts is heavy per row; a table of many splits is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
