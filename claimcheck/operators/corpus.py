@@ -199,15 +199,20 @@ def counterpart_passages(
 # --- corpus sorting ------------------------------------------------------------------------------
 
 
-def read_sort_lines(lines: DataFrame, keys: Sequence[str] = buckets.TEXT_KEYS) -> DataFrame:
+def read_sort_lines(
+    lines: DataFrame, keys: Sequence[str] = buckets.TEXT_KEYS, most: int = 0
+) -> DataFrame:
     """``line_no, value`` to ``line_no, fields, input_text, error``; blank lines are dropped.
 
     Parsing as a variant keeps broken JSON, JSON that is no object, and objects without
     text apart; a struct schema would turn all three into NULL fields.  ``fields`` is the
-    object itself, or the raw line under "text" when there is none.
+    object itself, or the raw line under "text" when there is none.  ``most`` takes the
+    first lines only, for a trial run.
     """
     raw = tx.strip(F.col("value"))
     parsed = lines.select("line_no", raw.alias("raw")).where(F.col("raw") != "")
+    if most > 0:
+        parsed = parsed.orderBy("line_no").limit(most)
     parsed = parsed.withColumn("_v", F.try_parse_json("raw"))
     is_object = F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT"))
     texts = [

@@ -27,7 +27,7 @@ from claimcheck.operators import (
     retrieval,
     route,
 )
-from claimcheck.plans import pipeline, tables
+from claimcheck.plans import run, tables
 from claimcheck.rules.cues import BENGALI
 from claimcheck.scorers import (
     ColumnScorer,
@@ -88,7 +88,7 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _build_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.evidence_stage(
+    return run.evidence_stage(
         tables.claims(spark, sf_dir), index(spark, sf_dir), CONFIG, SCORERS(), tables.ENCODER
     )
 
@@ -689,10 +689,10 @@ def unmatched_claims(spark, sf_dir):
 
 
 def _report(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def report(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(judged(spark, sf_dir))
 
-    QUERIES[name] = run
+    QUERIES[name] = report
 
 
 _report("accuracy", evaluate.accuracy)
@@ -849,12 +849,12 @@ def stream_scoring(spark, sf_dir):
     rows = with_evidence(spark, sf_dir)
     rows.repartition(3).write.parquet(incoming)
     arriving = stream.claim_stream(spark, incoming, rows.schema, files_per_batch=1)
-    run = stream.start_scoring(
+    job = stream.start_scoring(
         arriving, CONFIG, SCORERS(), log_path, os.path.join(root, "state"), until_drained=True
     )
-    run.awaitTermination()
-    if run.exception() is not None:
-        raise run.exception()
+    job.awaitTermination()
+    if job.exception() is not None:
+        raise job.exception()
     return spark.read.schema(schemas.LOG).parquet(log_path).select(
         "case_key", "p_fast", "p_llm_final", "triggered_think", "nli_applied"
     )

@@ -26,7 +26,7 @@ def evidence_stage(
     return evidence.select_evidence(cleaned, index, config, encoder, scorers, limits)
 
 
-def run(
+def run_claims(
     claims: DataFrame,
     index: DataFrame,
     config: PipelineConfig | None = None,

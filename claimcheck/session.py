@@ -25,6 +25,8 @@ def local_session(cores: str = "8", app: str = "claimcheck", memory: str = "16g"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Plans here hold many small expressions; recording a call site for each is slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,12 +124,42 @@ def write_index(
 def read_index(
     spark: SparkSession, root: str, sources: Sequence[str], encoder_name: str
 ) -> DataFrame:
-    """Index rows of the wanted sources; a source without a partition is simply absent."""
+    """Index rows of the wanted sources; without a partition (or any index) there are none."""
     stamp = "index_version int, encoder string"
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.INDEX.fields)
-    rows = spark.read.schema(f"{fields}, {stamp}").parquet(root)
+    try:
+        rows = spark.read.schema(f"{fields}, {stamp}").parquet(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.INDEX)
     return rows.where(
         F.col("source").isin(*sources)
         & (F.col("index_version") == INDEX_VERSION)
         & (F.col("encoder") == encoder_name)
     ).select(*schemas.INDEX.fieldNames())
+
+
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, value`` with the line number inside each file, from 1.
+
+    A file may be read in many splits: lines are counted per split, and a split starts
+    after the lines of all earlier splits of its file.  Only split counts are ordered.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    counts = lines.groupBy("file", "block").agg(
+        F.min("_id").alias("_first"), F.count("*").alias("_n")
+    )
+    earlier = (
+        Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return lines.join(starts, ["file", "block"]).select(
+        "file", number.alias("line_no"), "value"
+    )

@@ -189,6 +189,8 @@ def test_sort_job(spark, tmp_path):
 
 def test_sort_resume(spark):
     rows, out = sorted_rows(spark)
+    lines = spark.createDataFrame(SORT_LINES, "line_no long, value string")
+    assert sorted(r["line_no"] for r in corpus.read_sort_lines(lines, most=2).collect()) == [1, 2]
     log = corpus.sort_log(out.where("line_no <= 3"))
     left = corpus.unsorted_lines(rows, log)
     assert sorted(r["line_no"] for r in left.collect()) == [4, 5, 7, 8]
