@@ -48,7 +48,7 @@ def run_stage(df: DataFrame, scorer: Scorer, out: str, where: Column) -> DataFra
     todo = (
         base.where("_todo")
         .repartition(F.xxhash64("id"))
-        .sortWithinPartitions(*order, F.length(scorer.inputs[0]))
+        .sortWithinPartitions(*order, F.length(F.col(scorer.inputs[0]).cast("string")))
         .withColumn(out, scorer.column(F.lit(True)))
     )
     rest = base.where(~F.col("_todo")).withColumn(out, F.lit(None).cast(todo.schema[out].dataType))
@@ -155,7 +155,7 @@ def score_claims(
     else:
         rows, cached = keyed, F.lit(False)
     rows = rows.withColumn("cached", cached)
-    if any("prompt" in name and name != "prompt_bn" for name in (*scorers.fast.inputs, *scorers.think.inputs)):
+    if {"fast_prompt", "think_prompt"} & {*scorers.fast.inputs, *scorers.think.inputs}:
         rows = with_prompts(rows)
 
     still_open = ~F.col("cached")

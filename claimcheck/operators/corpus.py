@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.functions import parsing
+from claimcheck.functions import parsing, prompts
 from claimcheck.functions import text as tx
 from claimcheck.operators.cascade import run_stage
 from claimcheck.rules import buckets
@@ -246,7 +246,9 @@ def sort_lines(rows: DataFrame, scorer: Scorer, text_column: str = "input_text")
     ``reworded_facts`` (the facts, or the rewording as it is when it has none).
     """
     readable = F.col("error").isNull()
-    asked = run_stage(rows, scorer, "_answer", readable)
+    if "sort_prompt" in scorer.inputs:
+        rows = rows.withColumn("sort_prompt", prompts.sort_prompt(F.col(text_column)))
+    asked = run_stage(rows, scorer, "_answer", readable).drop("sort_prompt")
     cleaned = asked.withColumn("_clean", parsing.clean_model_output(F.col("_answer")))
     read = cleaned.withColumns(
         {

@@ -36,6 +36,7 @@ class BlockLimits:
     """How much one search task may hold."""
 
     block_bytes: int = 64 << 20
+    least_rows: int = 1024
     max_pivots: int = 256
     pivot_from_blocks: int = 8
 
@@ -133,6 +134,20 @@ def _blocks(rows: int, limit: int) -> int:
     return max(1, math.ceil(rows / limit))
 
 
+def _split(n_index: int, n_query: int, limit: int, least: int, tasks: float) -> tuple[int, int]:
+    """(passage blocks, query chunks) of a source: within the limit, and enough for ``tasks``.
+
+    Further splits cut the longer side, because each copies the other one once more.
+    """
+    sub, chunk = _blocks(n_index, limit), _blocks(n_query, limit)
+    more = math.ceil(tasks / (sub * chunk))
+    if more > 1 and n_index >= n_query:
+        sub *= max(1, min(more, n_index // (sub * least)))
+    elif more > 1:
+        chunk *= max(1, min(more, n_query // (chunk * least)))
+    return sub, chunk
+
+
 def _counts(df: DataFrame, side: str) -> DataFrame:
     return df.groupBy("source").agg(F.count("*").alias("n")).withColumn("side", F.lit(side))
 
@@ -181,8 +196,20 @@ def topk_join(
         q, p = _pivot_blocks(q, p, subs, threshold, limit, limits.max_pivots)
         split = True
     else:
-        chunks = {s: _blocks(n_query[s], limit) for s in both}
-        q, p = _hash_blocks(q, p, subs, chunks)
+        cores = q.sparkSession.sparkContext.defaultParallelism
+        work = {s: n_index[s] * n_query[s] for s in both}
+        pairs = {
+            s: _split(
+                n_index[s],
+                n_query[s],
+                limit,
+                limits.least_rows,
+                cores * work[s] / sum(work.values()),
+            )
+            for s in both
+        }
+        subs = {s: sub for s, (sub, _) in pairs.items()}
+        q, p = _hash_blocks(q, p, subs, {s: chunk for s, (_, chunk) in pairs.items()})
         split = max(subs.values()) > 1
 
     hits = _search(q, p, k, threshold, len(exclude))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimcheck.config import RouterConfig
-from claimcheck.functions import routing
+from claimcheck.functions import prompts, routing
 from claimcheck.rules import policy
 from claimcheck.scorers import Scorer
 
@@ -44,13 +44,16 @@ def route_claims(
         )
     static = F.col("static_task_type")
     wanted = F.lit(True) if config.mode == "model" else ~static.isin(*policy.LEXICAL_ONLY_TASKS)
+    if "category_prompt" in category.inputs:
+        prompt = prompts.category_prompt(F.col("prompt_bn"), F.col("response_bn"))
+        flagged = flagged.withColumn("category_prompt", prompt)
     asked = flagged.withColumn("_logits", category.column(wanted)).withColumn(
         "_model_task", routing.task_of_category(routing.best_category(F.col("_logits")))
     )
     model = F.col("_model_task")
     task = model if config.mode == "model" else routing.merge_tasks(static, model)
     return asked.withColumn("task_type", task).drop(
-        "_logits", "_model_task", *routing.flag_names()
+        "_logits", "_model_task", "category_prompt", *routing.flag_names()
     )
 
 

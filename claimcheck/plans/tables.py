@@ -79,13 +79,14 @@ def _source(lang: Column) -> Column:
     return F.try_element_at(F.create_map(*entries), lang)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Deal rows out to all tasks when a scan has fewer splits than there are cores.
 
     Splitting and encoding texts is heavy per row; a table of many splits is left alone.
+    ``key`` is unique, so the parts are even.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,11 +68,12 @@ def got(df):
     "limits",
     [
         BlockLimits(),
+        BlockLimits(least_rows=8),
         BlockLimits(block_bytes=64 * 8 * 8, pivot_from_blocks=1000),
         BlockLimits(block_bytes=64 * 8 * 8, pivot_from_blocks=1),
         BlockLimits(block_bytes=64 * 8 * 8, pivot_from_blocks=1, max_pivots=3),
     ],
-    ids=["one block", "hash blocks", "pivots", "few pivots"],
+    ids=["one block", "blocks per core", "hash blocks", "pivots", "few pivots"],
 )
 @pytest.mark.parametrize("threshold", [0.55, 0.95])
 def test_every_plan_is_exact(spark, clustered, limits, threshold):
@@ -113,6 +114,14 @@ def test_search_plan_has_no_cross_join(spark, clustered):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
+def test_splits():
+    assert retrieval._split(100, 10, 1000, 1024, 8) == (1, 1)
+    assert retrieval._split(100_000, 10, 1_000_000, 1024, 8) == (8, 1)
+    assert retrieval._split(10, 100_000, 1_000_000, 1024, 8) == (1, 8)
+    assert retrieval._split(100_000, 100_000, 10_000, 1024, 8) == (10, 10)
+    assert retrieval._split(3000, 10, 1_000_000, 1024, 8) == (2, 1)
+
+
 def test_kernel_ties_and_slabs():
     p = np.ones((50, 3))
     ids = np.arange(50)[::-1].copy()

@@ -297,3 +297,14 @@ def test_config_is_checked():
         with pytest.raises(ValueError):
             bad()
     assert PipelineConfig().meta_hash() != PipelineConfig(think=ThinkConfig(force_all=True)).meta_hash()
+
+
+def test_scorers_may_read_prompts(spark):
+    """A model that asks for prompt texts gets them assembled per row."""
+    scorers = Scorers(
+        ColumnScorer(("fast_prompt",), lambda t: F.when(t.endswith("V:"), 0.5)),
+        ColumnScorer(("given_nli",), lambda x: x),
+        ColumnScorer(("think_prompt",), lambda t: F.concat(F.lit("verdict: "), F.when(F.contains(t, F.lit("Task: bangla_grammar")), "Faithful"))),
+    )
+    out = {r["id"]: r for r in cascade.score_claims(cascade_frame(spark), CONFIG, scorers).collect()}
+    assert out[3]["p_fast"] == 0.5 and out[3]["p_llm"] == 0.90
