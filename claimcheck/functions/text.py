@@ -62,7 +62,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not blanks only."""
-    return F.trim(text, F.lit(SPACE_CHARS))
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def collapse(text: Column) -> Column:

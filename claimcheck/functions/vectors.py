@@ -67,8 +67,9 @@ class HashingEncoder:
         def encode(texts: pd.Series) -> np.ndarray:
             out = np.zeros((len(texts), self.dim), dtype=np.float32)
             for row, text in enumerate(texts):
-                for word in (text or "").split():
-                    out[row, bucket(word)] += 1.0
+                buckets = [bucket(word) for word in (text or "").split()]
+                if buckets:
+                    out[row] = np.bincount(buckets, minlength=self.dim)
             return out
 
         return encode

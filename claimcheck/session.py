@@ -13,6 +13,9 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_stage_paths: dict[str, list[str]] = {}
+
+
 def local_session(cores: str = "8", app: str = "claimcheck", memory: str = "16g") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     builder = (
@@ -62,9 +65,21 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     Cuts lineage (a lost executor costs no recompute), lets several branches read the
     stage, and keeps later filters from being pushed through its expressions.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _stage_paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the stages this application stored; frames that read them become unusable."""
+    sc = spark.sparkContext
+    paths = _stage_paths.pop(sc.applicationId, [])
+    for name in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def plan_text(df: DataFrame) -> str:
