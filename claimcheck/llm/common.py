@@ -47,14 +47,12 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_CHARS)
             yield batch.slice(a, b - a)
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct words of a column of texts, the code of each word in order, and row offsets.
 
     Words are what stands between ASCII white space (0x20, 0x09 to 0x0D); null has none.
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    if lower:
-        texts = pc.ascii_lower(texts)
     split = pc.ascii_split_whitespace(texts)
     offsets = split.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
