@@ -13,8 +13,8 @@ from claimcheck.session import plan_text
 
 check = importlib.import_module("check_oracle")
 SF = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+ORACLES = entry.oracle.statements()
+QUERIES = {name: fn for name, fn in entry.queries().items() if name in entry.registered.QUERIES}
 
 pytestmark = pytest.mark.skipif(not pathlib.Path(SF).exists(), reason="no test tables")
 
