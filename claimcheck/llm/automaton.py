@@ -44,7 +44,7 @@ _HELD, _NAMELESS = 1, 2
 def _packed(values: np.ndarray) -> bytes:
     """Numbers as compressed bytes, their low bytes together, then the next ones."""
     raw = np.ascontiguousarray(values)
-    planes = raw.view(np.uint8).reshape(len(raw), -1).T
+    planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T
     return raw.dtype.str.encode() + b" " + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
