@@ -113,10 +113,14 @@ class Index:
         found = {(k, int(at) - place) for at in picked for k, place in self.postings[int(own[at])]}
         out: list[tuple[int, int]] = []
         for k, diagonal in sorted(found):
-            if not out or out[-1][0] != k or diagonal - out[-1][1] > band:
+            if not out or out[-1][0] != k or diagonal - out[-1][1] > self.band(k, band):
                 out.append((k, diagonal))
         return out
 
+    def band(self, k: int, most: int) -> int:
+        """The band of a template: under half of its words, so that two notices in a row are two."""
+        return min(most, (len(self.terms[k]) - 1) // 2)
+
 
 def align(text: list[str], template: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """Template words held in order near a diagonal, and the first and last of their places in the text.
@@ -163,7 +167,7 @@ def matches(text: str, index: Index, coverage: float = COVERAGE, band: int = BAN
     found = []
     for k, diagonal in index.candidates(hashes, band):
         template = index.terms[k]
-        held, first, last = align(words, template, diagonal, band)
+        held, first, last = align(words, template, diagonal, index.band(k, band))
         if held >= coverage * len(template):
             found.append((-held, index.names[k], first, last, held / len(template)))
     taken: list[tuple] = []

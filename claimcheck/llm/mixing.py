@@ -28,7 +28,7 @@ BINS = {
 #: Labelled documents that the list of telling words is taken from, at most so many of the
 #: first domain and of the others, and the size of the list.  All other counts cover all rows.
 SAMPLE_ROWS, LEXICON, LEAST_DOCS = 2000, 64, 5
-ROUNDS, TOLERANCE = 40, 1e-4
+ROUNDS, TOLERANCE = 30, 1e-5
 SEED = 17
 _BLANKS = " \t\n\x0b\f\r"
 
@@ -181,33 +181,34 @@ def rate(p: Column, steps: list[list[float]]) -> Column:
 def fit(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """Steps of projected gradient for rows of ``tokens`` and ``p`` (an array), from rates of one.
 
-    With M the mean of p p' over all tokens, the squared distance from the targets is taken in
-    the norm of M's inverse; its gradient for a document is ``p . inverse(M) . (expected -
-    target)``, so one vector of the length of the targets is a step for all documents.  A
-    round reads the rows once and sums as many numbers as there are domains.  A rate follows
-    from the steps and the document's own p, so no round writes anything.  It ends when no
-    total moves by more than the tolerance, as a share of all tokens.
+    With M the sum of p p' over the tokens of documents whose rate is above zero, the squared
+    distance from the targets is taken in the norm of M's inverse; its gradient for a document
+    is ``p . inverse(M) . (expected - target)``, so one vector of the length of the targets is
+    a step for all documents.  A round reads the rows once and sums a number for each pair of
+    domains.  A rate follows from the steps and the document's own p, so no round writes
+    anything.  It ends when no total is further from its target than the tolerance, or moves
+    by more than a tenth of it (targets out of reach), as a share of all tokens.
     """
     size = len(targets)
     goal = np.array(targets) / sum(targets)
     at = lambda d: F.get("p", F.lit(d))
-    moments = [F.sum(F.col("tokens") * at(a) * at(b)) for a in range(size) for b in range(size)]
-    first = rows.agg(F.sum("tokens"), *moments).first()
-    if not first[0]:
-        return []
-    total = float(first[0])
-    inverse = np.linalg.inv(np.array(first[1:], dtype=float).reshape(size, size) / total + 1e-9 * np.eye(size))
+    weight = F.col("tokens") * F.col("r")
+    there = F.col("tokens") * (F.col("r") > 0).cast("double")
+    sums = [F.sum(weight * at(d)) for d in range(size)]
+    moments = [F.sum(there * at(a) * at(b)) for a in range(size) for b in range(size)]
     steps: list[list[float]] = []
     last = None
     for _ in range(rounds):
-        weight = F.col("tokens") * F.col("r")
-        sums = rows.withColumn("r", rate(F.col("p"), steps)).agg(*(F.sum(weight * at(d)) for d in range(size))).first()
-        expected = np.array(sums, dtype=float) / total
+        found = rows.withColumn("r", rate(F.col("p"), steps)).agg(F.sum("tokens"), *sums, *moments).first()
+        if not found[0]:
+            break
+        numbers = np.array(found[1:], dtype=float) / found[0]
+        expected, metric = numbers[:size], numbers[size:].reshape(size, size) + 1e-9 * np.eye(size)
         if np.abs(expected - goal).max() < tolerance:
             break
         if last is not None and np.abs(expected - last).max() < tolerance / 10:
             break
-        steps.append((inverse @ (expected - goal)).tolist())
+        steps.append(np.linalg.solve(metric, expected - goal).tolist())
         last = expected
     return steps
 

@@ -173,7 +173,7 @@ class Channel:
         apart: list[str] = []
         for raw in text.split():
             word = self.word(raw)
-            if len(word) == 1:
+            if len(word) == 1 and word.isalnum():
                 apart.append(word)
                 continue
             out += self._joined(apart)
@@ -206,7 +206,7 @@ def _word_lists(batch: pa.RecordBatch, channel: Channel) -> tuple[list[str], np.
     words, codes, offsets = words_of(batch.column("text"))
     clean = channel.words(words)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    single = np.fromiter((len(w) == 1 for w in clean), dtype=bool, count=len(clean))
+    single = np.fromiter((len(w) == 1 and w.isalnum() for w in clean), dtype=bool, count=len(clean))
     one = single[codes] if len(codes) else np.zeros(0, dtype=bool)
     if not one.any():
         return clean, rows, codes
@@ -352,7 +352,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Toxi
     return ToxicityModel(chars, pieces, tuple(weights), bias + prior - math.log((bad + 1) / (good + 1)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Weights and bias by Newton steps; the ridge keeps pieces that stand together small."""
     a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     keep = np.full(a.shape[1], ridge)

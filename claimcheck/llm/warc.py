@@ -68,6 +68,8 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
         if not colon:
             return "header line without a name"
         headers[name.decode("utf-8", "replace").strip()] = value.decode("utf-8", "replace").strip()
+    if not (headers.get("WARC-Type") and headers.get("WARC-Record-ID")):
+        return "no type or record id"
     size = headers.get("Content-Length", "")
     if not size.isascii() or not size.isdigit():
         return "no content length"
@@ -118,18 +120,22 @@ def _plain(data: bytes, base: int) -> Iterator[tuple[int, Record] | Gap]:
 def salvage(data: bytes) -> Iterator[tuple[int, Record] | Gap]:
     """All records of an archive file with their places, and the gaps between them.
 
-    Gzip members and plain records may follow each other.  The place of a record is the byte
+    After a damaged member, plain bytes may be what it stored; a plain record there counts
+    only if it names a digest of its block, and that is right.  Gzip members and plain records may follow each other.  The place of a record is the byte
     of the file where it, or its member, begins; a damaged record inside a sound member is a
     gap of the member's length.  Empty members and an empty file hold nothing.
     """
-    at, bad, why = 0, -1, ""
+    at, bad, why, doubt = 0, -1, "", False
     while at < len(data):
         zipped = data.startswith(_MAGIC, at)
         got = _member(data, at) if zipped else _parse(data, at)
+        if doubt and not zipped and not isinstance(got, str) and "WARC-Block-Digest" not in got[0].headers:
+            got = "no digest after a damaged member"
         if not isinstance(got, str):
             if bad >= 0:
                 yield Gap(bad, at - bad, why)
                 bad = -1
+            doubt = False
             if not zipped:
                 yield at, got[0]
             elif got[0]:
@@ -142,6 +148,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, Record] | Gap]:
             continue
         if bad < 0:
             bad, why = at, got
+        doubt = doubt or zipped
         member, line = data.find(_MAGIC, at + 1), _VERSION_LINE.search(data, at + 1)
         at = min([x for x in (member, line.start() if line else -1) if x >= 0], default=len(data))
     if bad >= 0:
