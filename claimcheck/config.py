@@ -39,7 +39,7 @@ class RetrievalConfig:
     sources: tuple[str, ...] = policy.SOURCES
     top_k: int = 5
     threshold: float = 0.55
-    max_evidence_tokens: int | None = 512
+    max_evidence_tokens: int | None = None
     query_mode: str = "prompt"
 
     def __post_init__(self) -> None:

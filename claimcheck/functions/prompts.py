@@ -145,9 +145,11 @@ def category_prompt(prompt: Column, response: Column) -> Column:
     )
 
 
-def sort_prompt(text: Column) -> Column:
-    """Corpus-sort prompt; the published wording shows the model the first 1500 characters."""
+def sort_prompt(text: Column, chars: int | None = None) -> Column:
+    """Corpus-sort prompt with the whole text, since the answer replaces all of it.
+
+    ``chars`` shows a model no more than its first characters; that limit is the model's own.
+    """
     before, after = buckets.SORT_PROMPT.split("{text}")
-    return F.concat(
-        F.lit(before), F.substring(text, 1, buckets.SORT_PROMPT_CHARS), F.lit(after)
-    )
+    shown = text if chars is None else F.substring(text, 1, chars)
+    return F.concat(F.lit(before), shown, F.lit(after))

@@ -101,8 +101,11 @@ def truncate_words(text: Column, limit: int | None) -> Column:
     )
 
 
-def word_windows(text: Column, size: int = 220, overlap: int = 50, min_chars: int = 50) -> Column:
-    """Sliding word windows as an array of ``(chunk_no, text)``; short windows are dropped."""
+def word_windows(text: Column, size: int = 220, overlap: int = 50, min_chars: int = 0) -> Column:
+    """Sliding word windows as an array of ``(chunk_no, text)``, all words in some window.
+
+    ``min_chars`` drops shorter windows; by default none is dropped.
+    """
     step = max(1, size - overlap)
 
     def windows(parts: Column) -> Column:

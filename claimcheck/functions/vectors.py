@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimcheck.loading import load_once, model_key
+
 from claimcheck.functions import text as tx
 
 
@@ -51,7 +53,10 @@ class HashingEncoder:
     """
 
     dim: int = 256
-    name: str = "hashing"
+
+    @property
+    def name(self) -> str:
+        return f"hashing-{self.dim}"
 
     def load(self) -> Callable[[pd.Series], np.ndarray]:
         bucket_of: dict[str, int] = {}
@@ -76,11 +81,12 @@ class HashingEncoder:
 
 
 def encode_text(encoder: Encoder) -> Callable[[Column], Column]:
-    """Column function that embeds a text column, one model load per worker."""
+    """Column function that embeds a text column, one model load per worker process."""
+    key = model_key(encoder.load)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder.load()
+        encode = load_once(key, encoder.load)
         for texts in batches:
             vectors = np.asarray(encode(texts), dtype=np.float32)
             yield pd.Series(list(vectors))

@@ -115,13 +115,13 @@ def fingerprint(df: DataFrame, fields: Sequence[str] = FINGERPRINT_FIELDS) -> Da
     names = [f for f in fields if f in df.columns]
     digest = F.sha2(_joined([F.col(f) for f in names]), 256)
     words = [
-        F.sum(F.conv(F.substring("_digest", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)"))
+        F.sum(F.conv(F.substring("_digest", 16 * i + 1, 16), 16, 10).cast("decimal(28,0)"))
         for i in range(4)
     ]
     total = F.concat_ws(
         ":",
         F.count("*").cast("string"),
-        *[F.coalesce(w, F.lit(0).cast("decimal(30,0)")).cast("string") for w in words],
+        *[F.coalesce(w, F.lit(0).cast("decimal(38,0)")).cast("string") for w in words],
     )
     return df.select(digest.alias("_digest")).agg(F.sha2(total, 256).alias("fingerprint"))
 

@@ -45,10 +45,13 @@ def run_stage(df: DataFrame, scorer: Scorer, out: str, where: Column) -> DataFra
         return df.withColumn(out, scorer.column(where))
     base = materialize(df.withColumn("_todo", F.coalesce(where, F.lit(False))), "open")
     order = [c for c in ("think_budget",) if c in df.columns]
+    # The number of a stored row: it needs no key column, and equal rows are spread too.
     todo = (
         base.where("_todo")
-        .repartition(F.xxhash64("id"))
+        .withColumn("_spread", F.xxhash64(F.monotonically_increasing_id()))
+        .repartition("_spread")
         .sortWithinPartitions(*order, F.length(F.col(scorer.inputs[0]).cast("string")))
+        .drop("_spread")
         .withColumn(out, scorer.column(F.lit(True)))
     )
     rest = base.where(~F.col("_todo")).withColumn(out, F.lit(None).cast(todo.schema[out].dataType))

@@ -21,7 +21,7 @@ CHUNKS_PER_DOC = 10_000_000
 
 
 def chunk_documents(
-    docs: DataFrame, size: int = 220, overlap: int = 50, min_chars: int = 50
+    docs: DataFrame, size: int = 220, overlap: int = 50, min_chars: int = 0
 ) -> DataFrame:
     """``source, doc_id, text`` to passages of overlapping word windows."""
     windows = F.explode(tx.word_windows(F.col("text"), size, overlap, min_chars))

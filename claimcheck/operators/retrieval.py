@@ -495,9 +495,11 @@ def hit_texts(hits: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def evidence_of_hits(
-    hits: DataFrame, by: Sequence[str], max_tokens: int | None = 512
+    hits: DataFrame, by: Sequence[str], max_tokens: int | None = None
 ) -> DataFrame:
-    """Hit texts of a group joined in rank order and cut to a word limit, with hit statistics.
+    """Hit texts of a group joined in rank order, with hit statistics.
+
+    ``max_tokens`` cuts the text to so many words, for a scorer that takes no more.
 
     A group has at most top-k hits, so collecting it is safe.
     """

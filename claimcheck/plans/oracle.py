@@ -178,7 +178,7 @@ def _passages_of(docs: str) -> str:
         SELECT source, doc_id, unnest([{{'no': s // 170, 't': array_to_string(w[s + 1:s + 220], ' ')}}
             for s in range(0, len(w), 170)]) AS chunk
         FROM (SELECT source, doc_id, {words("text")} AS w FROM {docs})
-    ) WHERE length(chunk.t) >= 50"""
+    )"""
 
 
 CTES: dict[str, str] = {
@@ -274,9 +274,7 @@ CTES: dict[str, str] = {
             round(avg(h.score), 6) AS retrieval_sim_mean
         FROM hits h JOIN passages p ON p.source = h.source AND p.passage_id = h.passage_id
         GROUP BY h.qid, h.source""",
-    "evidence": f"""SELECT * EXCLUDE (t), CASE WHEN len({words("t")}) <= {CONFIG.retrieval.max_evidence_tokens}
-            THEN t ELSE array_to_string(({words("t")})[1:{CONFIG.retrieval.max_evidence_tokens}], ' ')
-            END AS evidence FROM joined_hits""",
+    "evidence": "SELECT * EXCLUDE (t), t AS evidence FROM joined_hits",
     "chosen": """SELECT r.* EXCLUDE (context), r.context AS context_original,
             coalesce(a.evidence IS NULL AND b.evidence IS NOT NULL, false) AS by_fallback,
             coalesce(a.evidence, b.evidence) AS found,
@@ -657,7 +655,7 @@ _PLAIN: dict[str, str] = {
     "category_prompts": f"""SELECT id, {lit(prompts.CATEGORY_OPENING)} || 'Q: ' || prompt_bn ||
         chr(10) || 'A: ' || response_bn || chr(10) || chr(10) || {lit(prompts.CATEGORY_CLOSING)}
         AS prompt FROM cleaned""",
-    "sort_prompts": "SELECT doc_id, {} || substr(text, 1, 1500) || {} AS prompt FROM documents".format(
+    "sort_prompts": "SELECT doc_id, {} || text || {} AS prompt FROM documents".format(
         *[lit(part) for part in buckets.SORT_PROMPT.split("{text}")]
     ),
     "token_scores": """SELECT id, round(f / (f + h), 6) AS p_fast FROM (SELECT id,
@@ -827,6 +825,8 @@ _PLAIN: dict[str, str] = {
     "sort_line_errors": "SELECT line_no, input_text, error FROM sorted",
     "sorted_lines": """SELECT line_no, bucket AS parsed_bucket, unparsed, error,
         len(facts)::INTEGER AS n_facts, reworded FROM sorted""",
+    "sorted_lines_batch": """SELECT line_no, bucket AS parsed_bucket, unparsed, error,
+        len(facts)::INTEGER AS n_facts, reworded FROM sorted""",
     "sorted_facts": """SELECT bucket, line_no, fact_no - 1 AS fact_no, fact, fact AS stored FROM (
             SELECT bucket, line_no, unnest(facts) AS fact, generate_subscripts(facts, 1)::INTEGER AS fact_no
             FROM sorted WHERE len(facts) > 0)

@@ -9,8 +9,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimcheck import schemas
 from claimcheck.functions import evidence as ev
@@ -28,8 +30,10 @@ from claimcheck.operators import (
     route,
 )
 from claimcheck.plans import run, tables
+from claimcheck.rules import buckets
 from claimcheck.rules.cues import BENGALI
 from claimcheck.scorers import (
+    BatchScorer,
     ColumnScorer,
     lexical_batch_scorers,
     lexical_fast,
@@ -976,6 +980,42 @@ def sorted_lines(spark, sf_dir):
     )
 
 
+def _sort_model():
+    """The stand-in for a model that reads prompts in batches; it answers like ``sort_answer``."""
+    before, after = buckets.SORT_PROMPT.split("{text}")
+    cues = {"ouan": "IDIOM", "eaux": "literal", "tionth": "famous_bn", "ción": "discard"}
+
+    def one(prompt: str) -> str:
+        text = prompt[len(before) : len(prompt) - len(after)]
+        bucket = next((b for cue, b in cues.items() if cue in text), "grammar")
+        bucket = "unclear" if len(text) < 40 else bucket
+        facts = text.replace(". ", ".\n2. ")
+        return (
+            f"<think>short or\nlong</think>\n```yaml\nbucket: {bucket}\nreworded:\n- {facts}\n```\n"
+            f"Input Text: {text}"
+        )
+
+    def answer(rows: pd.DataFrame) -> pd.Series:
+        return rows["sort_prompt"].map(one)
+
+    return answer
+
+
+@query
+def sorted_lines_batch(spark, sf_dir):
+    """Sorting by a batch scorer that sees the prompts alone, 64 at a time."""
+    rows = corpus.read_sort_lines(tables.sort_input(spark, sf_dir))
+    model = BatchScorer(("sort_prompt",), T.StringType(), _sort_model, batch_rows=64)
+    return corpus.sort_lines(rows, model).select(
+        "line_no",
+        "parsed_bucket",
+        "unparsed",
+        "error",
+        F.size("facts").alias("n_facts"),
+        F.array_join("reworded_facts", "\n").alias("reworded"),
+    )
+
+
 @query
 def sorted_facts(spark, sf_dir):
     rows = corpus.fact_rows(_sorted(spark, sf_dir))

@@ -21,8 +21,6 @@ ALIASES = {
 
 TEXT_KEYS = ("text", "passage", "content")
 
-SORT_PROMPT_CHARS = 1500
-
 SORT_PROMPT = (
     "You are an expert data cleaner and annotator. Your goal is to convert the input text into a list of clean, sorted, atomic, and self-contained factual statements (primarily in Bengali, but you may keep or translate English sentences that contain valid facts), and classify them into their correct category.\n\n"
     "Instructions for Rewording:\n"

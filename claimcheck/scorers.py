@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimcheck.loading import load_once, model_key
 from claimcheck.functions import text as tx
 from claimcheck.rules.cues import CuePack
 
@@ -48,34 +49,48 @@ class ColumnScorer:
         return F.when(where, self.expr(*[F.col(name) for name in self.inputs]))
 
 
+def _calls(rows: pd.DataFrame, alike: list[str], most: int | None) -> Iterator[pd.DataFrame]:
+    """Rows in the batches that a model is called with."""
+    groups = [g for _, g in rows.groupby(alike, sort=False, dropna=False)] if alike else [rows]
+    for group in groups:
+        size = most or max(1, len(group))
+        for at in range(0, len(group), size):
+            yield group.iloc[at : at + size]
+
+
 @dataclass(frozen=True)
 class BatchScorer:
-    """``load`` builds the model once per worker and returns a function from a frame of
-    the inputs to one value per row (a frame of fields for struct types).
+    """``load`` builds the model once per worker process and returns a function from a frame
+    of the inputs to one value per row (a frame of fields for struct types).
 
-    ``costly`` asks the cascade to spread the masked rows over all tasks first.
+    ``costly`` asks the cascade to spread the masked rows over all tasks first.  A call of the
+    model sees at most ``batch_rows`` rows (None: an Arrow batch), and rows of one value of
+    the ``alike`` inputs only, such as a budget.
     """
 
     inputs: tuple[str, ...]
     dtype: T.DataType
     load: Callable[[], Callable[[pd.DataFrame], pd.Series | pd.DataFrame]]
     costly: bool = True
+    batch_rows: int | None = None
+    alike: tuple[str, ...] = ()
 
     def column(self, where: Column) -> Column:
         inputs, load, dtype = self.inputs, self.load, self.dtype
+        alike, most, key = list(self.alike), self.batch_rows, model_key(self.load)
         is_struct = isinstance(dtype, T.StructType)
         names = dtype.fieldNames() if is_struct else []
 
         def run(batches):
-            model = load()
+            model = load_once(key, load)
             for batch in batches:
                 wanted = batch["_wanted"].fillna(False).astype(bool)
                 if is_struct:
                     out = pd.DataFrame(float("nan"), index=batch.index, columns=names)
                 else:
                     out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-                if wanted.any():
-                    out.loc[wanted] = model(batch.loc[wanted, list(inputs)])
+                for part in _calls(batch.loc[wanted, list(inputs)], alike, most):
+                    out.loc[part.index] = model(part)
                 yield out
 
         run.__annotations__ = {

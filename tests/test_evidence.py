@@ -69,12 +69,14 @@ def test_prompts(spark):
         prompts.evidence_block(F.lit(" e ")).alias("some"),
         prompts.hypothesis(F.lit("q"), F.lit("a")).alias("h"),
         prompts.sort_prompt(F.lit("x" * 2000)).alias("sort"),
+        prompts.sort_prompt(F.lit("x" * 2000), 1500).alias("short"),
     ).first()
     assert row["plain"].endswith("verdict: Faithful|Hallucinated")
     assert "Show your calculation" in row["math"] and "Show your calculation" not in row["plain"]
     assert row["none"] == prompts.NO_EVIDENCE and row["some"] == "<evidence>\ne\n</evidence>"
     assert row["h"] == "The answer to the question 'q' is: a"
-    assert row["sort"].endswith("Input Text: " + "x" * 1500 + "\n")
+    assert row["sort"].endswith("Input Text: " + "x" * 2000 + "\n")
+    assert row["short"].endswith("Input Text: " + "x" * 1500 + "\n")
 
 
 def test_router_disabled(spark):

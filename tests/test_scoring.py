@@ -1,3 +1,5 @@
+import pathlib
+from claimcheck.operators.cascade import run_stage
 import math
 
 import pandas as pd
@@ -308,3 +310,36 @@ def test_scorers_may_read_prompts(spark):
     )
     out = {r["id"]: r for r in cascade.score_claims(cascade_frame(spark), CONFIG, scorers).collect()}
     assert out[3]["p_fast"] == 0.5 and out[3]["p_llm"] == 0.90
+
+
+def test_a_worker_loads_a_model_once_and_batches_hold_one_budget(spark, tmp_path):
+    import os
+
+    import pandas as pd
+
+    loads, calls = str(tmp_path / "loads"), str(tmp_path / "calls")
+    os.makedirs(loads)
+    os.makedirs(calls)
+
+    def load():
+        import uuid
+
+        pathlib.Path(loads, f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+
+        def score(rows: pd.DataFrame) -> pd.Series:
+            budgets = "_".join(map(str, sorted(rows["budget"].unique())))
+            pathlib.Path(calls, f"{len(rows)}-{budgets}-{uuid.uuid4().hex}").touch()
+            return rows["budget"] * 2.0
+
+        return score
+
+    scorer = BatchScorer(("budget",), T.DoubleType(), load, batch_rows=7, alike=("budget",))
+    rows = spark.range(400).select((F.col("id") % 3).alias("budget")).repartition(40)
+    # No column of that name: the stage spreads rows without a key.
+    out = run_stage(rows, scorer, "score", F.col("budget") > 0)
+    assert out.where("score = budget * 2 AND budget > 0").count() == 266
+    assert out.where("score IS NULL AND budget = 0").count() == 134
+    processes = [name.split("-")[0] for name in os.listdir(loads)]
+    assert len(processes) == len(set(processes))
+    made = [name.split("-")[:2] for name in os.listdir(calls)]
+    assert all(int(n) <= 7 and budget in ("1", "2") for n, budget in made)

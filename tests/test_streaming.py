@@ -16,7 +16,7 @@ def claims(spark, ids):
     )
 
 
-def drain(spark, tmp_path):
+def drain(spark, tmp_path, state="state"):
     arriving = stream.claim_stream(
         spark, str(tmp_path / "in"), claims(spark, [0]).schema, files_per_batch=1
     )
@@ -25,7 +25,7 @@ def drain(spark, tmp_path):
         CONFIG,
         lexical_scorers(BENGALI),
         str(tmp_path / "log"),
-        str(tmp_path / "state"),
+        str(tmp_path / state),
         until_drained=True,
     )
     run.awaitTermination()
@@ -50,3 +50,14 @@ def test_rerun_batch_leaves_the_same_rows(spark, tmp_path):
     write(claims(spark, [0, 2]), 1)
     log = spark.read.schema(schemas.LOG).parquet(str(tmp_path / "log"))
     assert log.count() == 3
+
+
+def test_two_jobs_on_one_log_keep_each_others_rows(spark, tmp_path):
+    claims(spark, [0, 1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert drain(spark, tmp_path).count() == 2
+    claims(spark, [1, 2]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    # A second job with a state of its own reads all files again, and scores case 2 only.
+    log = drain(spark, tmp_path, "other-state")
+    assert sorted(r["evidence"] for r in log.collect()) == ["evidence 0", "evidence 1", "evidence 2"]
+    seqs = [r["seq"] for r in log.orderBy("evidence").collect()]
+    assert seqs[0] == seqs[1] < seqs[2]
