@@ -30,6 +30,7 @@ _MAGIC = b"\x1f\x8b\x08"
 _VERSION_LINE = re.compile(rb"WARC/\d\.\d\r?\n")
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _ID = "urn:page:"
+_NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 @dataclass(frozen=True)
@@ -183,7 +184,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "WARC-Record-ID": f"<{_ID}{'' if page is None else page}>",
                 "WARC-Target-URI": url or "",
                 "WARC-Payload-Digest": f"sha256:{digest}",
-                "WARC-Block-Digest": "sha256:" + hashlib.sha256(block).hexdigest(),
+                "WARC-Block-Digest": f"sha256:{digest if refers is None else _NOTHING}",
             }
             if refers is not None:
                 headers["WARC-Refers-To"] = f"<{_ID}{refers}>"
@@ -195,15 +196,16 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     """Write ``page_id, url, html`` as archive files under ``path``, on any file system of Spark.
 
     Each row of the text writer is a record's member; its line end is an empty member, so that
-    the files are plain concatenations of members.  Files are sized by the bytes of all pages.
+    the files are plain concatenations of members.  A task begins a new file after as many
+    records as pages of mean size fill ``archive_bytes``, so no payload is dealt out for it.
     """
-    typed = with_types(pages)
-    size = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
-    files = max(1, -(-size // archive_bytes))
-    spread = typed.repartition(files, F.xxhash64("page_id", "digest", "url"))
-    members = spread.mapInArrow(_records, "value binary").select(F.col("value").cast("string").alias("value"))
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)))).first()[0] or 0
+    most = max(1, int(archive_bytes // max(1, mean)))
+    members = with_types(pages).mapInArrow(_records, "value binary")
+    members = members.select(F.col("value").cast("string").alias("value"))
     line_end = _EMPTY_MEMBER.decode("latin-1")
-    members.write.option("encoding", "ISO-8859-1").option("lineSep", line_end).text(path)
+    writer = members.write.option("encoding", "ISO-8859-1").option("lineSep", line_end)
+    writer.option("maxRecordsPerFile", most).text(path)
 
 
 _READ = (
@@ -231,7 +233,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, item = found
                 h = item.headers
                 digest = (h.get("WARC-Payload-Digest") or "").removeprefix("sha256:") or None
-                own = hashlib.sha256(item.block).hexdigest()
+                # A digest that the record names has been checked when it was parsed.
+                named = (h.get("WARC-Block-Digest") or "").removeprefix("sha256:")
+                own = named or hashlib.sha256(item.block).hexdigest()
                 refers = _number(h.get("WARC-Refers-To"))
                 page, url = _number(h.get("WARC-Record-ID")), h.get("WARC-Target-URI")
                 rows.append((path, at, None, None, h.get("WARC-Type"), page, url, digest, refers, len(item.block), own))
