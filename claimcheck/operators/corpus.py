@@ -207,12 +207,13 @@ def read_sort_lines(
     Parsing as a variant keeps broken JSON, JSON that is no object, and objects without
     text apart; a struct schema would turn all three into NULL fields.  ``fields`` is the
     object itself, or the raw line under "text" when there is none.  ``most`` takes the
-    first lines only, for a trial run.
+    first lines only, for a trial run.  Further columns, such as the file, are kept.
     """
     raw = tx.strip(F.col("value"))
-    parsed = lines.select("line_no", raw.alias("raw")).where(F.col("raw") != "")
+    kept = [c for c in lines.columns if c not in ("line_no", "value")]
+    parsed = lines.select(*kept, "line_no", raw.alias("raw")).where(F.col("raw") != "")
     if most > 0:
-        parsed = parsed.orderBy("line_no").limit(most)
+        parsed = parsed.orderBy(*kept, "line_no").limit(most)
     parsed = parsed.withColumn("_v", F.try_parse_json("raw"))
     is_object = F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT"))
     texts = [
@@ -228,6 +229,7 @@ def read_sort_lines(
     )
     bare = F.create_map(F.lit("text"), F.col("raw").cast("variant"))
     return parsed.withColumn("_broken", broken).select(
+        *kept,
         "line_no",
         F.when(F.col("_broken").isNull(), F.from_json("raw", "map<string,variant>"))
         .otherwise(bare)
@@ -282,7 +284,9 @@ def sort_lines(rows: DataFrame, scorer: Scorer, text_column: str = "input_text")
 
 
 def sort_log(sorted_rows: DataFrame) -> DataFrame:
+    """The log of a sort job, with the file of each line where there are several."""
     return sorted_rows.select(
+        *[c for c in ("file",) if c in sorted_rows.columns],
         "line_no", "input_text", "parsed_bucket", "reworded_facts", "raw_model_output", "error"
     )
 
@@ -290,16 +294,20 @@ def sort_log(sorted_rows: DataFrame) -> DataFrame:
 def fact_rows(sorted_rows: DataFrame, keys: Sequence[str] = buckets.TEXT_KEYS) -> DataFrame:
     """One output object per fact; lines without facts keep their object as it is.
 
-    ``line`` is the JSON object with the fact in place of the first text key it has.
+    ``line`` is the JSON object with the fact in place of the first text key it has.  That
+    text goes before the facts spread, so an object travels with each fact without it.
     """
     has_facts = (F.col("parsed_bucket") != "skip") & (F.size("facts") > 0)
     facts = F.when(has_facts, F.col("facts")).otherwise(F.array(F.lit(None).cast("string")))
     present = F.coalesce(
         *[F.when(F.map_contains_key("fields", F.lit(k)), F.lit(k)) for k in keys], F.lit("")
     )
+    emptied = F.transform_values(
+        "fields", lambda k, v: F.when(~has_facts | (k != present), v)
+    )
     spread = sorted_rows.select(
         F.col("parsed_bucket").alias("bucket"),
-        "fields",
+        emptied.alias("fields"),
         present.alias("_key"),
         F.posexplode(facts).alias("fact_no", "fact"),
         F.col("parsed_bucket").alias("_sort_bucket"),
@@ -315,9 +323,11 @@ def fact_rows(sorted_rows: DataFrame, keys: Sequence[str] = buckets.TEXT_KEYS) -
     return spread.withColumn("line", F.to_json(replaced)).drop("fields", "_key")
 
 
-def unsorted_lines(rows: DataFrame, log: DataFrame) -> DataFrame:
+def unsorted_lines(
+    rows: DataFrame, log: DataFrame, keys: Sequence[str] = ("line_no",)
+) -> DataFrame:
     """Lines an earlier run has not logged yet."""
-    return rows.join(log.select("line_no").distinct(), "line_no", "left_anti")
+    return rows.join(log.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def bucket_counts(sorted_rows: DataFrame, earlier_log: DataFrame | None = None) -> DataFrame:

@@ -133,14 +133,34 @@ def borderline(debug: DataFrame, n: int = 20) -> DataFrame:
 
 
 def count_table(df: DataFrame, key: Column, top: int = 20) -> DataFrame:
-    """Counts with percentages, most frequent first; what is left goes into one "…" row."""
-    counts = df.groupBy(F.coalesce(key.cast("string"), F.lit("None")).alias("item")).agg(
-        F.count("*").alias("n")
+    """Counts with percentages, most frequent first; what is left goes into one "…" row.
+
+    One pass counts items and the total; all that follows sees ``top`` + 1 rows at most.
+    """
+    items = df.select(F.coalesce(key.cast("string"), F.lit("None")).alias("item"))
+    # The total is the row without an item, and first.
+    counts = items.rollup("item").agg(F.count("*").alias("n"))
+    best = counts.orderBy(F.col("item").isNotNull(), F.desc("n"), "item").limit(top + 1)
+    shown = F.col("item").isNotNull()
+    one = best.agg(
+        F.max(F.when(~shown, F.col("n"))).alias("total"),
+        F.coalesce(F.sum(F.when(shown, F.col("n"))), F.lit(0)).alias("covered"),
+        F.array_sort(
+            F.collect_list(F.when(shown, F.struct((-F.col("n")).alias("less"), "item", "n")))
+        ).alias("best"),
+    )
+    rows = F.transform(
+        "best",
+        lambda r: F.struct(
+            r["item"].alias("item"),
+            r["n"].alias("n"),
+            F.round(100.0 * r["n"] / F.col("total"), 1).alias("pct"),
+        ),
     )
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    best = counts.orderBy(F.desc("n"), "item").limit(top)
-    shown = best.withColumn("pct", F.round(100.0 * F.col("n") / total, 1))
-    rest = best.agg((F.max(total) - F.sum("n")).alias("n")).where(F.col("n") > 0)
-    return shown.unionByName(
-        rest.select(F.lit("…").alias("item"), "n", F.lit(None).cast("double").alias("pct"))
+    rest = F.struct(
+        F.lit("…").alias("item"),
+        (F.col("total") - F.col("covered")).alias("n"),
+        F.lit(None).cast("double").alias("pct"),
     )
+    listed = F.when(F.col("total") > F.col("covered"), F.concat(rows, F.array(rest))).otherwise(rows)
+    return one.select(F.inline(listed))

@@ -195,21 +195,23 @@ def wrong_budgets(judged: DataFrame) -> DataFrame:
         .groupBy("think_max_tokens")
         .agg(F.count("*").alias("n"))
     )
-    longest = budgets.agg(F.max("think_max_tokens") <= SHORT_THINK_TOKENS).scalar()
-    return budgets.withColumn("all_short", longest)
+    # One row for each budget of the settings.
+    longest = F.max("think_max_tokens").over(Window.partitionBy())
+    return budgets.withColumn("all_short", longest <= SHORT_THINK_TOKENS)
 
 
-def wrong_reasons(judged: DataFrame, top: int = 10) -> DataFrame:
+def wrong_reasons(judged: DataFrame, top: int | None = None) -> DataFrame:
+    """Think reasons of wrong rows by frequency."""
     reasons = F.split(F.coalesce("think_reasons", F.lit("")), r"\|")
-    return (
+    counts = (
         judged.where(~F.col("correct"))
         .select(F.explode(F.transform(reasons, F.trim)).alias("reason"))
         .where(F.col("reason") != "")
         .groupBy("reason")
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "reason")
-        .limit(top)
     )
+    return counts if top is None else counts.limit(top)
 
 
 def hurt_rows(judged: DataFrame) -> DataFrame:
@@ -411,10 +413,12 @@ def best_rules(rules: DataFrame) -> DataFrame:
     return flat.withColumn("is_best", F.col("variant") == top)
 
 
-def nli_errors(scored: DataFrame, variant: str, rule: str, n: int = 8) -> DataFrame:
-    """First rows on which one rule under one wording is wrong."""
+def nli_errors(
+    scored: DataFrame, variant: str, rule: str, n: int | None = None
+) -> DataFrame:
+    """Rows (or the first ``n``) on which one rule under one wording is wrong."""
     label = rule_labels()[rule]
-    return (
+    wrong = (
         scored.where(F.col("variant") == variant)
         .withColumn("nli_pred", label)
         .where(F.col("nli_pred") != F.col("label_true"))
@@ -426,8 +430,8 @@ def nli_errors(scored: DataFrame, variant: str, rule: str, n: int = 8) -> DataFr
             *[F.round(c, 2).alias(c) for c in ("p_entail", "p_contradict", "p_neutral")],
         )
         .orderBy("id")
-        .limit(n)
     )
+    return wrong if n is None else wrong.limit(n)
 
 
 def task_baseline(judged: DataFrame, task: str = "context_grounded_fact") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimcheck.config import RouterConfig
 from claimcheck.functions import prompts, routing
+from claimcheck.operators.cascade import run_stage
 from claimcheck.rules import policy
 from claimcheck.scorers import Scorer
 
@@ -47,7 +48,7 @@ def route_claims(
     if "category_prompt" in category.inputs:
         prompt = prompts.category_prompt(F.col("prompt_bn"), F.col("response_bn"))
         flagged = flagged.withColumn("category_prompt", prompt)
-    asked = flagged.withColumn("_logits", category.column(wanted)).withColumn(
+    asked = run_stage(flagged, category, "_logits", wanted).withColumn(
         "_model_task", routing.task_of_category(routing.best_category(F.col("_logits")))
     )
     model = F.col("_model_task")
@@ -57,17 +58,21 @@ def route_claims(
     )
 
 
-def router_disagreement(routed: DataFrame, top: int = 10) -> DataFrame:
-    """Most frequent (static, final) pairs that differ, with the overall share of changes."""
+def router_disagreement(routed: DataFrame, top: int | None = None) -> DataFrame:
+    """Most frequent (static, final) pairs that differ, with the overall share of changes.
+
+    The windows run over one row for each pair of task types.
+    """
     changed = F.col("static_task_type") != F.col("task_type")
-    totals = routed.agg(
-        F.round(100.0 * F.count_if(changed) / F.count("*"), 1).alias("disagreement_pct")
-    )
-    pairs = routed.where(changed).groupBy("static_task_type", "task_type").agg(
-        F.count("*").alias("n")
-    )
-    return (
-        pairs.orderBy(F.desc("n"), "static_task_type", "task_type")
-        .limit(top)
-        .withColumn("disagreement_pct", totals.scalar())
+    everywhere = Window.partitionBy()
+    pairs = (
+        routed.groupBy("static_task_type", "task_type")
+        .agg(F.count("*").alias("n"))
+        .withColumn("_all", F.sum("n").over(everywhere))
+        .withColumn("_changed", F.sum(F.when(changed, F.col("n"))).over(everywhere))
+        .where(changed)
+        .withColumn("disagreement_pct", F.round(100.0 * F.col("_changed") / F.col("_all"), 1))
+        .drop("_all", "_changed")
+        .orderBy(F.desc("n"), "static_task_type", "task_type")
     )
+    return pairs if top is None else pairs.limit(top)

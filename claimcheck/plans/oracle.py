@@ -615,10 +615,8 @@ _PLAIN: dict[str, str] = {
     "model_categories": "SELECT id, category FROM categorised",
     "router_disagreement": """SELECT static_task_type, task_type, n, (SELECT round(100.0::DOUBLE *
             count(*) FILTER (static_task_type <> task_type) / count(*), 1) FROM routed) AS disagreement_pct
-        FROM (SELECT static_task_type, task_type, count(*) AS n,
-            row_number() OVER (ORDER BY count(*) DESC, static_task_type, task_type) AS r
-        FROM routed WHERE static_task_type <> task_type GROUP BY static_task_type, task_type)
-        WHERE r <= 10""",
+        FROM (SELECT static_task_type, task_type, count(*) AS n
+        FROM routed WHERE static_task_type <> task_type GROUP BY static_task_type, task_type)""",
     "router_disabled": """SELECT id, CASE WHEN context IS NULL THEN 'other_null'
             ELSE 'context_grounded_other' END AS task_type, false AS rag_used,
         'router_disabled' AS rag_skipped_reason,
@@ -716,10 +714,9 @@ _PLAIN: dict[str, str] = {
     "wrong_budgets": """SELECT think_max_tokens, count(*) AS n, (SELECT max(think_max_tokens) <= 512
         FROM judged WHERE NOT correct) AS all_short FROM judged
         WHERE NOT correct AND think_max_tokens IS NOT NULL GROUP BY think_max_tokens""",
-    "wrong_reasons": """SELECT reason, n FROM (SELECT reason, count(*) AS n,
-        row_number() OVER (ORDER BY count(*) DESC, reason) AS r FROM (
+    "wrong_reasons": """SELECT reason, count(*) AS n FROM (
             SELECT unnest(string_split(think_reasons, '|')) AS reason FROM judged WHERE NOT correct)
-        WHERE reason <> '' GROUP BY reason) WHERE r <= 10""",
+        WHERE reason <> '' GROUP BY reason""",
     "hurt_rows": """SELECT id, task_type, p_fast, p_think FROM statused
         WHERE think_status = 'think_hurt'""",
     "retrieval_lift": f"""SELECT count(*) FILTER (rag_used) AS n_rag,
@@ -770,7 +767,7 @@ _PLAIN: dict[str, str] = {
     "nli_errors": """SELECT id, label_true, nli_pred, label_pred, round(p_entail, 2) AS p_entail,
         round(p_contradict, 2) AS p_contradict, round(p_neutral, 2) AS p_neutral FROM (
             SELECT *, CASE WHEN gap < 0.2::DOUBLE THEN label_pred ELSE by_sign END AS nli_pred FROM rules
-            WHERE variant = 'qa_en') WHERE nli_pred <> label_true ORDER BY id LIMIT 8""",
+            WHERE variant = 'qa_en') WHERE nli_pred <> label_true""",
     "abstaining_labels": """SELECT id, variant,
         CASE WHEN gap < 0.2::DOUBLE THEN label_pred ELSE by_sign END AS label_02,
         CASE WHEN gap < 0.35::DOUBLE THEN label_pred ELSE by_sign END AS label_035 FROM rules""",
@@ -806,6 +803,27 @@ _PLAIN: dict[str, str] = {
             'other claims' FROM claims""",
     "stream_scoring": """SELECT case_key, p_fast, p_llm AS p_llm_final, triggered_think, nli_applied
         FROM labelled""",
+    "stream_resumed": """SELECT case_key, p_fast, p_llm AS p_llm_final, triggered_think, nli_applied
+        FROM labelled""",
+    "run_resumed": "SELECT id, label, p_llm, p_fast, triggered_think FROM labelled",
+    "sort_resumed": """SELECT bucket, error,
+        CASE error WHEN 'invalid_json' THEN replace(input_text, chr(10), ' ') ELSE input_text END AS input_text,
+        CASE error WHEN 'invalid_json' THEN replace(reworded, chr(10), ' ') ELSE reworded END AS reworded,
+        count(*) OVER (PARTITION BY bucket) AS n_in_bucket,
+        sum(greatest(len(facts), 1)) OVER (PARTITION BY bucket)::BIGINT AS n_written FROM sorted""",
+    "claims_json_array": "SELECT id, context, prompt_bn, response_bn FROM claims",
+    "corpus_folder": f"""SELECT source, CASE WHEN source <> 'literal' THEN text END AS text,
+        source = 'literal' AS malformed,
+        CASE WHEN source = 'literal' THEN count(*) OVER (PARTITION BY source) END AS n_broken
+        FROM docs WHERE source <> 'literal' OR {strip("text")} <> ''""",
+    "limited_articles": "SELECT page_id, title FROM articles ORDER BY page_id LIMIT 50",
+    "hurt_rows_changed": """SELECT id, task_type, p_fast, p_think FROM judged
+        WHERE triggered_think AND length(prompt_bn) > 60 AND NOT correct""",
+    "think_outcomes_changed": """SELECT think_status, count(*) AS n,
+        round(100 * avg(correct::INT), 1) AS accuracy_pct FROM (SELECT correct, CASE
+            WHEN NOT triggered_think THEN 'no_think' WHEN length(prompt_bn) <= 60 THEN 'think_no_change'
+            WHEN correct THEN 'think_helped' ELSE 'think_hurt' END AS think_status FROM judged)
+        GROUP BY think_status""",
     "category_lines": """SELECT a.page_id, coalesce(string_agg(k.line, '|' ORDER BY k.pos), '') AS lines
         FROM articles a LEFT JOIN kept_lines k ON k.page_id = a.page_id GROUP BY a.page_id""",
     "article_categories": f"""SELECT page_id, string_agg(category, '|' ORDER BY
@@ -850,11 +868,10 @@ _PLAIN: dict[str, str] = {
         sum(greatest(len(facts), 1) * line_no)::BIGINT AS line_sum FROM sorted GROUP BY bucket""",
     "category_files": f"""SELECT category, title || chr(10) || text AS text FROM classified
         WHERE {is_in("category", queries.ENABLED)}""",
-    "title_lists": f"""SELECT category, title FROM (SELECT category, {strip("title")} AS title,
-        row_number() OVER (PARTITION BY category ORDER BY {strip("title")}) AS r FROM classified
-        WHERE {strip("title")} <> '') WHERE r <= 2""",
+    "title_lists": f"""SELECT category, {strip("title")} AS title FROM classified
+        WHERE {strip("title")} <> ''""",
     "index_table": f"""SELECT source, passage_id, sha256(source || chr(31) || text) AS passage_hash,
-        {tables.ENCODER.dim} AS dim FROM passages WHERE source IN ('idioms', 'literal', 'grammar')""",
+        {tables.ENCODER.dim} AS dim FROM passages""",
     "score_log": """SELECT case_key, seq, p_fast, p_llm_final, think_reasons AS why FROM log""",
     "latest_run": "SELECT id, label, '20260102_000000' AS run_ts FROM labelled",
 }

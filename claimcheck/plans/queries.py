@@ -29,10 +29,11 @@ from claimcheck.operators import (
     retrieval,
     route,
 )
-from claimcheck.plans import run, tables
-from claimcheck.rules import buckets
+from claimcheck.plans import run, sort, tables
+from claimcheck.rules import buckets, policy
 from claimcheck.rules.cues import BENGALI
 from claimcheck.scorers import (
+    Scorers,
     BatchScorer,
     ColumnScorer,
     lexical_batch_scorers,
@@ -708,6 +709,16 @@ _report("thinking_lengths", evaluate.thinking_lengths)
 _report("wrong_budgets", evaluate.wrong_budgets)
 _report("wrong_reasons", evaluate.wrong_reasons)
 _report("hurt_rows", evaluate.hurt_rows)
+
+
+def _changed_by_length(judged: DataFrame) -> DataFrame:
+    """As if thinking had changed the label of long questions, so all four outcomes occur."""
+    changed = F.col("triggered_think") & (F.length("prompt_bn") > 60)
+    return judged.withColumn("think_changed_label", changed)
+
+
+_report("hurt_rows_changed", lambda j: evaluate.hurt_rows(_changed_by_length(j)))
+_report("think_outcomes_changed", lambda j: evaluate.think_outcomes(_changed_by_length(j)))
 _report("retrieval_lift", evaluate.retrieval_lift)
 _report("retrieval_by_task", evaluate.retrieval_by_task)
 _report("similarity_by_outcome", evaluate.similarity_by_outcome)
@@ -750,7 +761,7 @@ def nli_best_rules(spark, sf_dir):
 
 @query
 def nli_errors(spark, sf_dir):
-    return evaluate.nli_errors(_variants(spark, sf_dir), "qa_en", "hybrid_margin_0.2", 8)
+    return evaluate.nli_errors(_variants(spark, sf_dir), "qa_en", "hybrid_margin_0.2")
 
 
 @query
@@ -864,6 +875,58 @@ def stream_scoring(spark, sf_dir):
     )
 
 
+@query
+def stream_resumed(spark, sf_dir):
+    """Two jobs with states of their own on one log; the second meets the first one's claims."""
+    root = scratch_path(spark, "streams")
+    rows = with_evidence(spark, sf_dir)
+    parts = {"first": rows.where("context_original is not null"), "second": rows}
+    for name, part in parts.items():
+        incoming = os.path.join(root, name)
+        part.repartition(2).write.parquet(incoming)
+        job = stream.start_scoring(
+            stream.claim_stream(spark, incoming, rows.schema, files_per_batch=1),
+            CONFIG,
+            SCORERS(),
+            os.path.join(root, "log"),
+            os.path.join(root, f"state-{name}"),
+            until_drained=True,
+        )
+        job.awaitTermination()
+        if job.exception() is not None:
+            raise job.exception()
+    return spark.read.schema(schemas.LOG).parquet(os.path.join(root, "log")).select(
+        "case_key", "p_fast", "p_llm_final", "triggered_think", "nli_applied"
+    )
+
+
+def _no_scorers() -> Scorers:
+    """Scorers that fail on the first claim they are asked about."""
+
+    def fail(kind: str) -> Callable[..., Column]:
+        return lambda *_: F.raise_error(F.lit("scored again")).cast(kind)
+
+    nli = "struct<p_entail:double,p_contradict:double,p_neutral:double>"
+    return Scorers(
+        fast=ColumnScorer(("context",), fail("double")),
+        nli=ColumnScorer(("nli_premise",), fail(nli)),
+        think=ColumnScorer(("context",), fail("string")),
+        category=SCORERS().category,
+    )
+
+
+@query
+def run_resumed(spark, sf_dir):
+    """A whole run, and the same run again that finds its checkpoint and scores nothing."""
+    root = scratch_path(spark, "run")
+    claims, passages = tables.claims(spark, sf_dir), index(spark, sf_dir)
+    run.resume_claims(claims, passages, root, CONFIG, SCORERS(), tables.ENCODER)
+    again = run.resume_claims(
+        claims, passages, root, CONFIG, _no_scorers(), tables.ENCODER, resume_evidence=True
+    )
+    return again.select("id", "label", "p_llm", "p_fast", "triggered_think")
+
+
 # --- corpus jobs ----------------------------------------------------------------------------------------------------
 
 
@@ -1016,6 +1079,34 @@ def sorted_lines_batch(spark, sf_dir):
     )
 
 
+@query
+def sort_resumed(spark, sf_dir):
+    """Files sorted by two jobs, the second after more files came: a log row for each line."""
+    root = scratch_path(spark, "sort-job")
+    path, log_path = os.path.join(root, "in"), os.path.join(root, "log")
+    # Bare texts of several lines become one.
+    lines = tables.sort_input(spark, sf_dir).select(F.translate("value", "\n", " ").alias("value"))
+    model = BatchScorer(("sort_prompt",), T.StringType(), _sort_model, batch_rows=64)
+    job = (spark, path, os.path.join(root, "out"), log_path, model)
+    is_object = F.startswith(F.col("value"), F.lit("{"))
+    for part in (lines.where(is_object), lines.where(~is_object)):
+        part.select("value").repartition(4).write.mode("append").text(path)
+        sort.sort_files(*job, annotate=True)
+    # A dry run finds nothing left to do, and writes nothing.
+    counts = sort.sort_files(*job, dry_run=True).select("bucket", F.col("n").alias("n_in_bucket"))
+    written = sort.read_buckets(spark, os.path.join(root, "out"), log_path)
+    written = written.groupBy("bucket").agg(F.count("*").alias("n_written"))
+    log = sort.earlier_log(spark, log_path).withColumnRenamed("parsed_bucket", "bucket")
+    return log.join(counts, "bucket").join(written, "bucket").select(
+        "bucket",
+        "input_text",
+        "error",
+        F.array_join("reworded_facts", "\n").alias("reworded"),
+        "n_in_bucket",
+        "n_written",
+    )
+
+
 @query
 def sorted_facts(spark, sf_dir):
     rows = corpus.fact_rows(_sorted(spark, sf_dir))
@@ -1061,6 +1152,19 @@ def claims_json(spark, sf_dir):
     return claim_files.read_claims_json(spark, path, array=False)
 
 
+@query
+def claims_json_array(spark, sf_dir):
+    """Files that hold one JSON array each, of about a thousand claims."""
+    path = scratch_path(spark, "json-array")
+    claims = tables.claims(spark, sf_dir)
+    parts = F.lit(1 + claims.count() // 1000)
+    arrays = claims.groupBy(F.pmod(F.xxhash64("id"), parts).alias("part")).agg(
+        F.to_json(F.collect_list(F.struct(*claims.columns))).alias("value")
+    )
+    arrays.write.partitionBy("part").text(path)
+    return claim_files.read_claims_json(spark, path).select(*claims.columns)
+
+
 @query
 def processed_claims(spark, sf_dir):
     path = scratch_path(spark, "processed")
@@ -1068,16 +1172,20 @@ def processed_claims(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-def _corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A typed corpus folder with objects under both keys, bare text and blank lines."""
-    root = scratch_path(spark, "corpus")
+def _corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects under both keys, bare text and blank lines."""
     docs = tables.documents(spark, sf_dir).withColumn(
         "value",
         F.when(F.col("source") == "wiki", F.to_json(F.struct("text")))
         .when(F.col("source") == "idioms", F.to_json(F.struct(F.col("text").alias("passage"))))
         .otherwise(F.translate("text", "\n", " ")),
     )
-    docs.select("source", "value").write.partitionBy("source").text(root)
+    return docs.select("source", "value")
+
+
+def _corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "corpus")
+    _corpus_lines(spark, sf_dir).write.partitionBy("source").text(root)
     lines = spark.read.text(root).select("source", "value")
     return corpus_files.parse_corpus_lines(lines)
 
@@ -1096,6 +1204,28 @@ def corpus_malformed(spark, sf_dir):
     )
 
 
+@query
+def corpus_folder(spark, sf_dir):
+    """A typed corpus read by source folder, with the number of broken lines of the source."""
+    root = scratch_path(spark, "corpus-folder")
+    lines = _corpus_lines(spark, sf_dir)
+    sources = ("wiki", "idioms", "literal")
+    for source in sources:
+        lines.where(F.col("source") == source).select("value").write.text(f"{root}/{source}")
+    rows = corpus_files.read_corpus(spark, root, sources, "*.txt")
+    broken = corpus_files.malformed_lines(rows).groupBy("source").agg(
+        F.sum("n_malformed").alias("n_broken")
+    )
+    return rows.join(broken, "source", "left").select("source", "text", "malformed", "n_broken")
+
+
+@query
+def limited_articles(spark, sf_dir):
+    """A trial run's articles: the first fifty."""
+    rows = corpus_files.limit_articles(tables.articles(spark, sf_dir), 50)
+    return rows.select("page_id", "title")
+
+
 @query
 def first_text_keys(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents")
@@ -1134,15 +1264,14 @@ def title_lists(spark, sf_dir):
     root = scratch_path(spark, "titles")
     rows = corpus_files.limit_articles(_classified(spark, sf_dir), 0)
     corpus_files.write_titles(rows, root)
-    return corpus_files.read_titles(spark, root, per_category=2)
+    return corpus_files.read_titles(spark, root)
 
 
 @query
 def index_table(spark, sf_dir):
     root = scratch_path(spark, "index")
     corpus_files.write_index(index(spark, sf_dir), root, tables.ENCODER.name)
-    wanted = ["idioms", "literal", "grammar"]
-    rows = corpus_files.read_index(spark, root, wanted, tables.ENCODER.name)
+    rows = corpus_files.read_index(spark, root, policy.SOURCES, tables.ENCODER.name)
     return rows.select("source", "passage_id", "passage_hash", F.size("embedding").alias("dim"))
 
 

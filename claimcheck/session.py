@@ -7,13 +7,17 @@ import io
 import os
 import pathlib
 import tempfile
+import threading
 import uuid
 import zipfile
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 _stage_paths: dict[str, list[str]] = {}
+_owned = threading.local()
 
 
 def local_session(cores: str = "8", app: str = "claimcheck", memory: str = "16g") -> SparkSession:
@@ -69,19 +73,47 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     _stage_paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    getattr(_owned, "paths", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stages(spark: SparkSession) -> int:
-    """Delete the stages this application stored; frames that read them become unusable."""
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
     sc = spark.sparkContext
-    paths = _stage_paths.pop(sc.applicationId, [])
-    for name in paths:
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path)
+
+
+def _delete(spark: SparkSession, names: list[str]) -> None:
+    sc = spark.sparkContext
+    for name in names:
         path = sc._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the stages this application stored; frames that read them become unusable."""
+    paths = _stage_paths.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)
 
 
+@contextlib.contextmanager
+def own_stages(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the stages that this thread stored inside the block.
+
+    For a job that has written its results by then, such as a micro-batch.
+    """
+    before, _owned.paths = getattr(_owned, "paths", []), []
+    try:
+        yield
+    finally:
+        mine, _owned.paths = _owned.paths, before
+        kept = _stage_paths.get(spark.sparkContext.applicationId, [])
+        kept[:] = [p for p in kept if p not in mine]
+        _delete(spark, mine)
+
+
 def plan_text(df: DataFrame) -> str:
     """The formatted physical plan as text (for tests that guard plan shape)."""
     out = io.StringIO()

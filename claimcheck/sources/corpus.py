@@ -33,9 +33,11 @@ def parse_corpus_lines(lines: DataFrame) -> DataFrame:
     ).drop("_v", "value")
 
 
-def read_corpus(spark: SparkSession, root: str, sources: Sequence[str]) -> DataFrame:
+def read_corpus(
+    spark: SparkSession, root: str, sources: Sequence[str], pattern: str = "*.jsonl"
+) -> DataFrame:
     """``source, file, text, malformed`` of every ``<root>/<source>/*.jsonl``."""
-    paths = [f"{root}/{s}/*.jsonl" for s in sources]
+    paths = [f"{root}/{s}/{pattern}" for s in sources]
     lines = spark.read.text(paths).withColumn("file", F.col("_metadata.file_path"))
     parts = F.split("file", "/")
     return parse_corpus_lines(lines).withColumn("source", F.element_at(parts, -2))
@@ -108,8 +110,9 @@ def cap_titles(titles: DataFrame, per_category: int = 0) -> DataFrame:
     )
 
 
-def limit_articles(articles: DataFrame, most: int = 0) -> DataFrame:
-    return articles.limit(most) if most > 0 else articles
+def limit_articles(articles: DataFrame, most: int = 0, key: str = "page_id") -> DataFrame:
+    """The first articles by key, for a trial run; 0 takes all."""
+    return articles.orderBy(key).limit(most) if most > 0 else articles
 
 
 def write_index(

@@ -8,7 +8,8 @@ from claimcheck import session
 from claimcheck.config import PipelineConfig, RetrievalConfig, RouterConfig
 from claimcheck.functions.vectors import HashingEncoder
 from claimcheck.operators import decide, retrieval
-from claimcheck.plans.run import run_claims
+from claimcheck.plans.run import resume_claims, run_claims
+from claimcheck.sources import logs
 
 ENCODER = HashingEncoder(512)
 CONFIG = PipelineConfig(
@@ -69,3 +70,36 @@ def test_stages_can_be_dropped(spark, monkeypatch):
     before = len(glob.glob(pattern))
     assert session.drop_stages(spark) == 1
     assert len(glob.glob(pattern)) == before - 1
+
+
+def test_own_stages_go_at_the_end(spark):
+    kept = session.materialize(spark.range(3), "keepme")
+    with session.own_stages(spark):
+        gone = session.materialize(spark.range(5), "ownme")
+        path = gone.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert glob.glob(f"{path}/*.parquet")
+    assert not glob.glob(path) and kept.count() == 3
+
+
+def test_resumed_run_keeps_scores(spark, tables, tmp_path):
+    claims, index, _ = tables
+    config = PipelineConfig(router=RouterConfig(mode="static"))
+    root = str(tmp_path / "run")
+
+    def go(rows, **options):
+        out = resume_claims(rows, index, root, config, encoder=ENCODER, **options)
+        return {r["id"]: (r["label"], r["p_llm"], r["p_fast"]) for r in out.collect()}
+
+    def log_size():
+        return logs.read_log(spark, f"{root}/log").count()
+
+    first = go(claims.where("id < 4"))
+    assert sorted(first) == [1, 2, 3] and log_size() == 3
+    # The checkpoint stands in for scoring, with stored evidence or evidence made again.
+    assert go(claims.where("id < 4"), resume_evidence=True) == first and log_size() == 3
+    assert go(claims.where("id < 4")) == first and log_size() == 3
+    # One more claim: the checkpoint is of other claims, the log knows the three cases.
+    more = go(claims)
+    assert sorted(more) == [1, 2, 3, 4] and log_size() == 4
+    assert {i: more[i] for i in first} == first
+    assert go(claims, force=True) == more and log_size() == 8
