@@ -43,6 +43,7 @@ HEADLINES = {
     "index_build": stage(queries.index),
     "routed_build": stage(queries.routed),
     "topk_vectors": registered("topk_vectors"),
+    "topk_vectors_cells": registered("topk_vectors_cells"),
     "topk_vectors_by_source": registered("topk_vectors_by_source"),
     "evidence_hits": registered("evidence_hits"),
     "evidence_build": stage(queries.with_evidence),
@@ -58,6 +59,8 @@ HEADLINES = {
     "audit_slice": registered("audit_slice"),
     "table_fingerprint": registered("table_fingerprint"),
     "stream_scoring": registered("stream_scoring"),
+    "run_resumed": registered("run_resumed"),
+    "sort_resumed": registered("sort_resumed"),
     "article_categories": registered("article_categories"),
     "related_pages": registered("related_pages"),
     "sorted_lines": registered("sorted_lines"),

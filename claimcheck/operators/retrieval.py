@@ -5,10 +5,10 @@ into blocks that fit one task: passages into ``sub`` blocks, queries into ``chun
 by hash.  No source, however large, ends up in one group.  A task multiplies two matrices
 and emits at most k rows per query; a window merges the blocks.
 
-Large sources are cut by pivots first.  A passage belongs to the cell of its nearest pivot,
-and by the triangle inequality on angles a query with threshold t only needs cells whose
-angle range comes within acos(t) of its own angle to the pivot.  That prunes whole cells
-and loses no hit.
+Sources of more than one block are cut by pivots first.  A passage belongs to the cell of its
+nearest pivot, and a query is compared with its own cell.  By the triangle inequality on angles
+it then needs only cells whose angle range comes within acos(t) of its own angle to the pivot,
+where t is its k-th score so far, or the threshold.  That prunes whole cells and loses no hit.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from claimcheck.functions import text as tx
 from claimcheck.functions import vectors
 from claimcheck.functions.vectors import Encoder
+from claimcheck.session import materialize
 
 SCORE_DIGITS = 6
 HIT_COLUMNS = ("qid", "source", "passage_id", "score", "rank")
@@ -38,7 +39,7 @@ class BlockLimits:
     block_bytes: int = 64 << 20
     least_rows: int = 1024
     max_pivots: int = 256
-    pivot_from_blocks: int = 8
+    pivot_from_blocks: int = 2
 
     def rows(self, dim: int) -> int:
         return max(64, self.block_bytes // (8 * max(dim, 1)))
@@ -130,6 +131,13 @@ def _per_source(values: dict[str, int]) -> Column:
     return F.try_element_at(F.create_map(*entries), F.col("source"))
 
 
+def _per_cell(values: dict[tuple[str, int], int]) -> Column:
+    """The value of a row's source and cell; NULL for cells that have none."""
+    entries = [F.lit(x) for (s, c), n in values.items() for x in (f"{c}:{s}", n)]
+    key = F.concat_ws(":", F.col("cell").cast("string"), "source")
+    return F.try_element_at(F.create_map(*entries), key)
+
+
 def _blocks(rows: int, limit: int) -> int:
     return max(1, math.ceil(rows / limit))
 
@@ -148,6 +156,18 @@ def _split(n_index: int, n_query: int, limit: int, least: int, tasks: float) ->
     return sub, chunk
 
 
+def _splits(
+    sizes: dict[tuple[str, int], tuple[int, int]], limit: int, least: int, cores: int
+) -> dict[tuple[str, int], tuple[int, int]]:
+    """``_split`` of each cell, which gets tasks by its share of all comparisons."""
+    work = {key: n * m for key, (n, m) in sizes.items()}
+    total = sum(work.values())
+    return {
+        key: _split(n, m, limit, least, cores * work[key] / total)
+        for key, (n, m) in sizes.items()
+    }
+
+
 def _counts(df: DataFrame, side: str) -> DataFrame:
     return df.groupBy("source").agg(F.count("*").alias("n")).withColumn("side", F.lit(side))
 
@@ -192,29 +212,22 @@ def topk_join(
         return _no_hits(q)
     q, p = q.where(F.col("source").isin(both)), p.where(F.col("source").isin(both))
     subs = {s: _blocks(n_index[s], limit) for s in both}
-    if threshold is not None and max(subs.values()) >= limits.pivot_from_blocks:
-        q, p = _pivot_blocks(q, p, subs, threshold, limit, limits.max_pivots)
-        split = True
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    if max(subs.values()) < limits.pivot_from_blocks:
+        # One cell for each source, so every query is in the cell it needs.
+        q, p = q.withColumn("cell", F.lit(0)), p.withColumn("cell", F.lit(0))
+        sizes = {s: (n_index[s], n_query[s]) for s in both}
+        plan = _splits({(s, 0): n for s, n in sizes.items()}, limit, limits.least_rows, cores)
+        hits = _search(*_hash_blocks(q, p, plan), k, threshold, len(exclude))
+        if max(sub for sub, _ in plan.values()) == 1:
+            return hits
     else:
-        cores = q.sparkSession.sparkContext.defaultParallelism
-        work = {s: n_index[s] * n_query[s] for s in both}
-        pairs = {
-            s: _split(
-                n_index[s],
-                n_query[s],
-                limit,
-                limits.least_rows,
-                cores * work[s] / sum(work.values()),
-            )
-            for s in both
-        }
-        subs = {s: sub for s, (sub, _) in pairs.items()}
-        q, p = _hash_blocks(q, p, subs, {s: chunk for s, (_, chunk) in pairs.items()})
-        split = max(subs.values()) > 1
-
-    hits = _search(q, p, k, threshold, len(exclude))
-    if not split:
-        return hits
+        hits = _cell_search(q, p, subs, k, threshold, len(exclude), limit, limits, cores)
+    return _best(hits, k)
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The first k of the hits that several blocks found."""
     order = Window.partitionBy("qid", "source").orderBy(F.desc("score"), F.asc("passage_id"))
     return (
         hits.drop("rank")
@@ -241,23 +254,19 @@ def _no_hits(q: DataFrame) -> DataFrame:
 
 
 def _hash_blocks(
-    q: DataFrame, p: DataFrame, subs: dict[str, int], chunks: dict[str, int]
+    q: DataFrame, p: DataFrame, plan: dict[tuple[str, int], tuple[int, int]]
 ) -> tuple[DataFrame, DataFrame]:
-    """Put every (passage block, query chunk) pair of a source into a group of its own."""
-    n_sub, n_chunk = _per_source(subs), _per_source(chunks)
-    q = q.withColumns(
-        {
-            "cell": F.lit(0),
-            "chunk": F.pmod(F.xxhash64("qid"), n_chunk).cast("int"),
-            "sub": F.explode(F.sequence(F.lit(0), n_sub - 1)),
-        }
+    """Put every (passage block, query chunk) pair of a cell into a group of its own.
+
+    Rows of cells that are not in the plan are not sent at all.
+    """
+    n_sub = _per_cell({key: sub for key, (sub, _) in plan.items()})
+    n_chunk = _per_cell({key: chunk for key, (_, chunk) in plan.items()})
+    q = q.withColumn("chunk", F.pmod(F.xxhash64("qid"), n_chunk).cast("int")).withColumn(
+        "sub", F.explode(F.sequence(F.lit(0), n_sub - 1))
     )
-    p = p.withColumns(
-        {
-            "cell": F.lit(0),
-            "chunk": F.explode(F.sequence(F.lit(0), n_chunk - 1)),
-            "sub": F.pmod(F.xxhash64("passage_id"), n_sub).cast("int"),
-        }
+    p = p.withColumn("sub", F.pmod(F.xxhash64("passage_id"), n_sub).cast("int")).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), n_chunk - 1))
     )
     return q, p
 
@@ -301,21 +310,28 @@ def _angles(vectors_: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0), -1, 1))
 
 
-def _pivot_blocks(
+def _cell_search(
     q: DataFrame,
     p: DataFrame,
     subs: dict[str, int],
-    threshold: float,
+    k: int,
+    threshold: float | None,
+    n_keys: int,
     limit: int,
-    max_pivots: int,
-) -> tuple[DataFrame, DataFrame]:
-    """Cells by nearest pivot, cut into blocks; each query goes only where a hit can be."""
-    wanted = {s: min(max_pivots, n) for s, n in subs.items()}
+    limits: BlockLimits,
+    cores: int,
+) -> DataFrame:
+    """Hits by cells of the nearest pivot: a query's own cell first, then those within reach.
+
+    The k-th score in its own cell, or the threshold if that is higher, bounds what another
+    cell must offer a query.  Together the two searches hold the best k.
+    """
+    wanted = {s: min(limits.max_pivots, n) for s, n in subs.items()}
     sample = Window.partitionBy("source").orderBy(F.xxhash64("passage_id"), "passage_id")
     rows = (
         p.select("source", "passage_id", "embedding")
         .withColumn("pick", F.row_number().over(sample))
-        .where(F.col("pick") <= max_pivots)
+        .where(F.col("pick") <= limits.max_pivots)
         .where(F.col("pick") <= _per_source(wanted))
         .collect()
     )
@@ -324,100 +340,71 @@ def _pivot_blocks(
         for s in wanted
     }
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source, part in batch.groupby("source", sort=False):
-                angles = _angles(_matrix(part["embedding"]), pivots[source])
-                cell = angles.argmin(axis=1)
-                yield part.assign(
-                    cell=cell.astype(np.int32), angle=angles[np.arange(len(part)), cell]
-                )
-
-    assigned_schema = T.StructType(
-        [
-            *p.schema.fields,
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("angle", T.DoubleType()),
-        ]
-    )
-    assigned = p.mapInPandas(assign, assigned_schema)
-    # A zero vector has no direction and can pass no positive threshold, so its angle of
-    # 90 degrees is as good as any.
+    def assigned(df: DataFrame, vector: str) -> DataFrame:
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for source, part in batch.groupby("source", sort=False):
+                    angles = _angles(_matrix(part[vector]), pivots[source])
+                    cell = angles.argmin(axis=1)
+                    yield part.assign(
+                        cell=cell.astype(np.int32), angle=angles[np.arange(len(part)), cell]
+                    )
+
+        extra = [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
+        return df.mapInPandas(assign, T.StructType([*df.schema.fields, *extra]))
+
+    # Stored, since each is read by the counts and by both searches.
+    p = materialize(assigned(p, "embedding"), "cells")
+    q = materialize(assigned(q, "qvec").drop("angle"), "own-cells")
+    # A zero vector has no direction and scores 0 everywhere, so its angle of 90 degrees is
+    # as good as any: a bound above 0 rules it out and one up to 0 reaches 90 degrees.
     cells = {
         (r["source"], r["cell"]): (r["n"], r["low"], r["high"])
-        for r in assigned.groupBy("source", "cell")
+        for r in p.groupBy("source", "cell")
         .agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
         .collect()
     }
-    reach = math.acos(max(-1.0, threshold - 10.0**-SCORE_DIGITS)) + 1e-9
-
-    def reachable(part: pd.DataFrame, source: str) -> tuple[np.ndarray, np.ndarray]:
-        angles = _angles(_matrix(part["qvec"]), pivots[source])
-        low = np.full(angles.shape[1], np.inf)
-        high = np.full(angles.shape[1], -np.inf)
-        for (name, cell), (_, lo, hi) in cells.items():
-            if name == source:
-                low[cell], high[cell] = lo, hi
-        return np.nonzero((angles - reach <= high) & (angles + reach >= low))
-
-    def count_routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source, part in batch.groupby("source", sort=False):
-                _, cell = reachable(part, source)
-                ids, n = np.unique(cell, return_counts=True)
-                yield pd.DataFrame({"source": source, "cell": ids.astype(np.int32), "n": n})
-
-    routed = (
-        q.select("source", "qvec")
-        .mapInPandas(count_routes, "source string, cell int, n long")
-        .groupBy("source", "cell")
-        .agg(F.sum("n").alias("n"))
-        .collect()
-    )
-    n_chunk = {(r["source"], r["cell"]): _blocks(r["n"], limit) for r in routed}
-    n_sub = {key: _blocks(n, limit) for key, (n, _, _) in cells.items()}
-
-    def spread(part: pd.DataFrame, times: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
-        copies = part.iloc[np.repeat(np.arange(len(part)), times)]
-        number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        return copies, number.astype(np.int32)
+    p = p.drop("angle")
+
+    def search(sent: DataFrame) -> DataFrame | None:
+        asked = {(r["source"], r["cell"]): r["count"] for r in sent.groupBy("source", "cell").count().collect()}
+        sizes = {key: (cells[key][0], n) for key, n in asked.items() if key in cells}
+        if not sizes:
+            return None
+        plan = _splits(sizes, limit, limits.least_rows, cores)
+        known = _per_cell({key: 1 for key in plan}).isNotNull()
+        return _search(
+            *_hash_blocks(sent.where(known), p.where(known), plan), k, threshold, n_keys
+        )
 
-    def block_of(hashes: pd.Series, count: np.ndarray) -> np.ndarray:
-        return (hashes.to_numpy(np.int64) % count).astype(np.int32)
+    near = search(q)
+    near = _no_hits(q) if near is None else materialize(_best(near, k), "near-hits")
+    bounds = near.groupBy("qid", "source").agg(
+        F.when(F.count("*") >= k, F.min("score")).alias("kth")
+    )
+    floor = F.greatest(F.lit(-1.0 if threshold is None else float(threshold)), "kth")
+    bounded = materialize(
+        q.join(bounds, ["qid", "source"], "left").withColumn("kth", floor), "bounded"
+    )
 
-    def send_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source, part in batch.groupby("source", sort=False):
-                row, cell = reachable(part, source)
-                part = part.iloc[row].assign(cell=cell.astype(np.int32))
-                chunk = np.array([n_chunk[source, c] for c in cell], dtype=np.int64)
-                part["chunk"] = block_of(part["_hash"], chunk)
-                times = np.array([n_sub[source, c] for c in cell], dtype=np.int64)
-                copies, sub = spread(part, times)
-                yield copies.assign(sub=sub).drop(columns="_hash")
-
-    def send_passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for source, part in batch.groupby("source", sort=False):
-                sub = np.array([n_sub[source, c] for c in part["cell"]], dtype=np.int64)
-                part = part.assign(sub=block_of(part["_hash"], sub)).drop(columns="angle")
-                # A cell that no query reaches is not sent at all.
-                times = np.array(
-                    [n_chunk.get((source, c), 0) for c in part["cell"]], dtype=np.int64
-                )
-                copies, chunk = spread(part, times)
-                yield copies.assign(chunk=chunk).drop(columns="_hash")
-
-    def with_block(df: DataFrame) -> T.StructType:
-        kept = [f for f in df.schema.fields if f.name not in ("cell", "angle")]
-        extra = [T.StructField(name, T.IntegerType()) for name in ("cell", "chunk", "sub")]
-        return T.StructType(kept + extra)
-
-    sent_q = q.withColumn("_hash", F.xxhash64("qid")).mapInPandas(send_queries, with_block(q))
-    sent_p = assigned.withColumn("_hash", F.xxhash64("passage_id")).mapInPandas(
-        send_passages, with_block(p)
-    )
-    return sent_q, sent_p
+                angles = _angles(_matrix(part["qvec"]), pivots[source])
+                low = np.full(angles.shape[1], np.inf)
+                high = np.full(angles.shape[1], -np.inf)
+                for (name, cell), (_, lo, hi) in cells.items():
+                    if name == source:
+                        low[cell], high[cell] = lo, hi
+                least = part["kth"].to_numpy(np.float64) - 10.0**-SCORE_DIGITS
+                reach = np.arccos(np.clip(least, -1.0, 1.0))[:, None] + 1e-9
+                within = (angles - reach <= high) & (angles + reach >= low)
+                within[np.arange(len(part)), part["cell"].to_numpy(np.int64)] = False
+                row, cell = np.nonzero(within)
+                yield part.iloc[row].assign(cell=cell.astype(np.int32))
+
+    far = search(bounded.mapInPandas(route, bounded.schema).drop("kth"))
+    return near if far is None else near.unionByName(far)
 
 
 # --- single query, index tables, evidence ---------------------------------------------------

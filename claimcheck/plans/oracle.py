@@ -639,6 +639,7 @@ _PLAIN: dict[str, str] = {
         FROM (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm_full
             FROM (SELECT vec_id, [x * 3::DOUBLE for x in embedding::DOUBLE[]] AS e FROM embeddings)))""",
     "topk_vectors": vector_hits("'all'", 5, 0.2),
+    "topk_vectors_cells": vector_hits("'all'", 5, 0.2),
     "topk_vectors_by_source": vector_hits("a.label::VARCHAR", 5, 0.1),
     "evidence_hits": "SELECT qid, source, passage_id, score, rank FROM hits",
     "evidence_texts": """SELECT qid, source, evidence, n_retrieved, retrieval_sim_max,
@@ -906,6 +907,7 @@ def statements() -> dict[str, str]:
     out["exemplar_hits"] = with_exemplars(
         "SELECT qid, 'exemplars' AS source, passage_id, score, rank FROM eh"
     )
+    out["exemplar_hits_cells"] = out["exemplar_hits"]
     out["fast_prompts"] = with_exemplars(
         f"""SELECT f.id, coalesce(s.shots, '') || {case_text()} ||
             {lit(prompts.FAST_CLOSING + prompts.FAST_CUE)} AS fast_prompt

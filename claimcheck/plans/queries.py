@@ -347,8 +347,7 @@ def unit_vectors(spark, sf_dir):
 
 
 def _vector_search(
-    spark: SparkSession, sf_dir: str, source: Column, k: int, threshold: float
-) -> DataFrame:
+    spark: SparkSession, sf_dir: str, source: Column, k: int, threshold: float, **options) -> DataFrame:
     rows = tables.table(spark, sf_dir, "embeddings").withColumn("source", source)
     return retrieval.topk_join(
         rows.select(
@@ -363,8 +362,7 @@ def _vector_search(
         sources=["all", *[str(i) for i in range(10)]],
         k=k,
         threshold=threshold,
-        exclude=[("self", "self")],
-    )
+        exclude=[("self", "self")], **options)
 
 
 @query
@@ -372,6 +370,15 @@ def topk_vectors(spark, sf_dir):
     return _vector_search(spark, sf_dir, F.lit("all"), 5, 0.2)
 
 
+#: So small that the tables fall into many cells, as large ones do.
+SMALL_BLOCKS = retrieval.BlockLimits(block_bytes=1 << 16)
+
+
+@query
+def topk_vectors_cells(spark, sf_dir):
+    return _vector_search(spark, sf_dir, F.lit("all"), 5, 0.2, limits=SMALL_BLOCKS)
+
+
 @query
 def topk_vectors_by_source(spark, sf_dir):
     return _vector_search(spark, sf_dir, F.col("label").cast("string"), 5, 0.1)
@@ -464,6 +471,17 @@ def exemplar_hits(spark, sf_dir):
     )
 
 
+@query
+def exemplar_hits_cells(spark, sf_dir):
+    return retrieval.exemplar_hits(
+        cleaned(spark, sf_dir),
+        _exemplars(spark, sf_dir),
+        tables.ENCODER,
+        k=3,
+        limits=SMALL_BLOCKS,
+    )
+
+
 def _with_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _stage(spark, sf_dir, "exemplar_hits", exemplar_hits)
     lists = retrieval.exemplar_lists(hits, _exemplars(spark, sf_dir))
