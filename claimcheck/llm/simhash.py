@@ -164,13 +164,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLO
     return prints.join(named, "bits").select("doc_id", hexed, "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, all columns kept.
 
-    Of rows that repeat that doc_id one stays.  Rows without a doc_id cannot be named as
-    copies of each other and stay.
+    ``found`` has ``doc_id, component_id`` of another search.  Of rows that repeat that doc_id
+    one stays.  Rows without a doc_id cannot be named as copies of each other and stay.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs) if found is None else found
     keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
     ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count()
