@@ -209,13 +209,15 @@ def pack(found: DataFrame, group: int = GROUP, capacities: tuple[float, ...] = C
     return found.withColumn("part", part).groupBy("part").applyInPandas(fill, whole)
 
 
-def packed(docs: DataFrame, name: str = TOKENIZER, group: int = GROUP) -> DataFrame:
+def packed(
+    docs: DataFrame, name: str = TOKENIZER, group: int = GROUP, capacities: tuple[float, ...] = CAPACITIES
+) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of ``docs``.
 
     Null and empty texts are one token.  Repeated rows are packed each on its own.  A null
     doc_id stays null.  Other columns are not read; an empty table gives an empty one.
     """
-    return pack(stored(pieces(docs, name), "pieces"), group)
+    return pack(stored(pieces(docs, name), "pieces"), group, capacities)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

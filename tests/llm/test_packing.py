@@ -87,3 +87,14 @@ def test_every_capacity_holds(measure):
     with pytest.raises(ValueError):
         packing.best_fit(np.array([[101, 1, 1]]), capacities)
     assert len(packing.best_fit(np.zeros((0, 3)), capacities)) == 0
+
+
+def test_packed_keeps_capacities_that_bind(spark):
+    docs = spark.createDataFrame([(k, f"some words of text {k}") for k in range(50)], "doc_id long, text string")
+    got = packing.packed(docs, capacities=(2048, 2, 400)).collect()
+    full = {}
+    for r in got:
+        full.setdefault(r.sequence_id, []).append(r.length)
+    assert len(got) == 50
+    assert all(len(x) <= 2 and sum(n * n for n in x) <= 400 for x in full.values())
+    assert len({r.sequence_id for r in packing.packed(docs).collect()}) == 1 < len(full)
