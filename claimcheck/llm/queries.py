@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from claimcheck.llm import (
     automaton,
     chat,
+    credentials,
     licenses,
     mixing,
     negatives,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": vectors.op8_embedding_dedup,
     "op9_lm_scoring": automaton.op9_lm_scoring,
     "op10_warc": warc.op10_warc,
+    "op11_secret_scans": credentials.op11_secret_scans,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_hard_negatives": negatives.op13_hard_negatives,
 }
@@ -79,6 +81,7 @@ SELECT page_id, size AS payload_bytes, digest AS payload_digest,
   CASE WHEN size >= 100 AND page_id <> smallest THEN smallest END AS refers_to
 FROM least
 """,
+    "op11_secret_scans": credentials.oracle(),
     "op12_prefix_trie": """
 WITH numbered AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
