@@ -8,6 +8,8 @@ capacities suit it best takes it.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +29,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs together.  Each group leaves about one sequence part-filled.
 GROUP = 8192
 #: Words a worker remembers, in each of two generations.
-REMEMBERED = 250_000
-_CHUNK = 64
+REMEMBERED = 300_000
+#: Words that are encoded at a time.
+_CHUNK = 16_384
 
 #: Capacities of a sequence: tokens, documents, attention cost (sum of squared lengths).
 CAPACITIES = (SEQUENCE, SEQUENCE, SEQUENCE * SEQUENCE)
@@ -36,67 +39,115 @@ CAPACITIES = (SEQUENCE, SEQUENCE, SEQUENCE * SEQUENCE)
 WEIGHTS = (1.0, 0.001, 0.1)
 
 
+# What the tokenizer file does before it merges letters.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters that no normal form changes and that have one lower case, then signs: two pieces at most.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordTokenizer:
     """Token ids of texts, word by word, with a bounded memory of words.
 
     The tokenizer splits at white space before anything else, so a text's ids are its words'
-    ids in order.  New words are encoded many at a time, kept apart by a special token.
+    ids in order.  New words are encoded many at a time, as words that are cut already.  Most
+    are letters and closing signs; those are cut and lower-cased here and only merged there.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         one_thread()
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = "<|startoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.remembered = remembered
-        self.new: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _encode(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        between = f" {self.mark} "
-        chunks = [plain[i : i + _CHUNK] for i in range(0, len(plain), _CHUNK)]
-        coded = self.tokenizer.encode_batch_fast([between.join(c) for c in chunks], add_special_tokens=False)
-        for chunk, got in zip(chunks, coded, strict=True):
-            ids = np.array(got.ids, dtype=np.uint16)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            starts = np.concatenate([[0], cuts + 1]).tolist()
-            ends = np.concatenate([cuts, [len(ids)]]).tolist()
-            for word, a, b in zip(chunk, starts, ends, strict=True):
-                self.new[word] = ids[a:b].tobytes()
-        for word in words:
-            if "<|" in word:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-                self.new[word] = np.array(ids, dtype=np.uint16).tobytes()
-
-    def known(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian 16-bit numbers (the vocabulary has fewer than 2**16)."""
-        if len(self.new) > self.remembered:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        fresh = []
-        for word in words:
-            if word not in new:
-                if word in old:
-                    new[word] = old[word]
-                else:
-                    fresh.append(word)
-        self._encode(fresh)
-        return [new[w] for w in words]
+        self.new, self.old = _Words(), _Words()
+        spec = json.loads(self.tokenizer.to_str())
+        steps_ = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.merger = None
+        if steps_ == _NORMALIZERS and splits[0].get("pattern") == {"Regex": _SPLIT} and suffix:
+            self.merger = Tokenizer.from_file(path)
+            self.merger.normalizer = None
+            self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.closes = np.zeros(max(spec["model"]["vocab"].values()) + 1 + len(spec["added_tokens"]), dtype=bool)
+            self.closes[[k for x, k in spec["model"]["vocab"].items() if x.endswith(suffix)]] = True
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has."""
+        ids, sizes = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(words), _CHUNK):
+            part = words[at : at + _CHUNK]
+            coded = self.tokenizer.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
+            ids.append(np.array(coded.ids, dtype=np.uint16))
+            sizes.append(np.bincount(np.array(coded.word_ids, dtype=np.int64), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _merged(self, cut: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words given as letters and signs; a piece's last id, and no other, closes it."""
+        ids, sizes = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(cut), _CHUNK):
+            part = cut[at : at + _CHUNK]
+            pieces = [x.lower() for both in part for x in both if x]
+            coded = self.merger.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0]
+            ids.append(np.array(coded.ids, dtype=np.uint16))
+            last = np.cumsum([1 + bool(signs) for _, signs in part]) - 1
+            sizes.append(np.diff(np.flatnonzero(self.closes[ids[-1]])[last], prepend=-1))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, words: list[str]) -> None:
+        odd = words
+        if self.merger:
+            found = [_PLAIN.fullmatch(w) for w in words]
+            plain = [m for m in found if m]
+            odd = [w for w, m in zip(words, found, strict=True) if not m]
+            self.new.add([m[0] for m in plain], *self._merged([m.groups() for m in plain]))
+        self.new.add(odd, *self._encode(odd))
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """The number of each word in ``new``, which then holds them all."""
+        if len(self.new.number) > self.remembered:
+            self.old, self.new = self.new, _Words()
+        number = self.new.number
+        fresh = [w for w in words if w not in number]
+        kept = np.array([self.old.number.get(w, -1) for w in fresh], dtype=np.int64)
+        again = kept >= 0
+        if again.any():
+            moved = [w for w, k in zip(fresh, again.tolist(), strict=True) if k]
+            self.new.add(moved, *self.old.ids_of(kept[again]))
+            fresh = [w for w, k in zip(fresh, again.tolist(), strict=True) if not k]
+        self._learn(fresh)
+        return np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and where each row begins and the last one ends."""
         words, codes, offsets = words_of(texts)
-        coded = self.known(words)
-        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 2
-        flat = np.frombuffer(b"".join(coded), dtype="<u2")
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        lengths = sizes[codes] if len(codes) else np.zeros(0, dtype=np.int64)
+        numbers = self.known(words)
+        flat, lengths = self.new.ids_of(numbers[codes] if len(codes) else numbers[:0])
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        place = np.repeat(begin[codes] - ends[:-1], lengths) + np.arange(ends[-1])
-        return flat[place].astype("<u4"), ends[offsets]
+        return flat.astype("<u4"), ends[offsets]
+
+
+class _Words:
+    """Words by number, and their ids in one array (the vocabulary has fewer than 2**16)."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat = np.zeros(0, dtype=np.uint16)
+        self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.number)
+        self.number.update(zip(words, range(at, at + len(words)), strict=True))
+        begin = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, ids])
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        place = np.repeat(self.begin[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[place], sizes
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -119,20 +170,18 @@ def pieces(docs: DataFrame, name: str = TOKENIZER, size: int = SEQUENCE, closing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             ids, offsets = word_tokenizer(name).encode(batch.column("text"))
-            rows: list[list[int]] = [[], [], [], [], []]
-            for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                whole = np.append(ids[a:b], np.uint32(closing)).astype("<u4")
-                for n, at in enumerate(range(0, len(whole), size)):
-                    part = whole[at : at + size]
-                    for column, value in zip(rows, (k, n, at, len(part), zlib.crc32(part.tobytes())), strict=True):
-                        column.append(value)
+            ids = np.insert(ids, offsets[1:], np.uint32(closing)).astype("<u4", copy=False)
+            lengths = np.diff(offsets) + 1
+            counts = -(-lengths // size)
+            row = np.repeat(np.arange(len(counts)), counts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = piece * size
+            length = np.minimum(lengths[row] - start, size)
+            begin = (np.cumsum(lengths) - lengths)[row] + start
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+            columns = [pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, sums))]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(rows[0], pa.int32())),
-                    pa.array(rows[1], pa.int32()),
-                    *(pa.array(c, pa.int64()) for c in rows[2:]),
-                ],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                [batch.column("doc_id").take(pa.array(row)), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -70,7 +71,19 @@ def test_the_memory_of_words_is_bounded():
         text = " ".join(f"word{k} part{j}" for j in range(8))
         ids, _ = own.encode(pa.array([text]))
         assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
-        assert len(own.new) <= 30 and len(own.old) <= 30
+        assert len(own.new.number) <= 30 and len(own.old.number) <= 30
+
+
+def test_words_of_every_kind_have_the_tokenizers_ids():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    signs = "'aZé\u00df\u0130\u017f\u00aa\u00b2\u00d7\u0301.,-_!`{|}~<>@[]^\\9²ñÿĀ\u4e2d\u0e01\u200b\ufeff\u3000\u00a0😀"
+    words = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 6))) for _ in range(20_000)]
+    words += ["don't", "we'll.", "<|endoftext|>", "end<|endoftext|>", "<|startoftext|>x", "Ünïcode,", "a" * 5000, "a." * 3000]
+    own = packing.WordTokenizer(public_tokenizers.path(packing.TOKENIZER))
+    ids, _ = own.encode(pa.array([" ".join(words)]))
+    assert ids.tolist() == [x for w in words for x in TOKENIZER.encode(w, add_special_tokens=False).ids]
 
 
 @pytest.mark.parametrize("measure", ["norm", "dot"])
