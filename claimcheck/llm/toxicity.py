@@ -404,18 +404,22 @@ def accepted(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD
 
     Rows are decided by their texts, so rows of one id may be decided differently.
     """
-    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         channel, finder = Channel(model.chars), _finder(model.pieces)
         weights, bar = np.array(model.weights), math.log(threshold / (1 - threshold))
-        for batch in steps(batches, "text"):
-            row, piece = _found(batch, channel, finder)
-            total = np.full(batch.num_rows, model.bias)
-            np.add.at(total, row, weights[piece] if len(piece) else 0.0)
-            yield batch.filter(pa.array(total < bar))
-
-    return docs.select(names).mapInArrow(run, docs.schema)
+        for column in columns:
+            out = [pa.array([], pa.bool_())]
+            for batch in steps(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text", 1_000_000):
+                row, piece = _found(batch, channel, finder)
+                total = np.full(batch.num_rows, model.bias)
+                np.add.at(total, row, weights[piece] if len(piece) else 0.0)
+                out.append(pa.array(total < bar))
+            yield pa.concat_arrays(out)
+
+    # Only texts go to Python and only verdicts come back.
+    return docs.where(clean(F.col("text").cast("string")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
