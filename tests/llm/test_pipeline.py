@@ -7,8 +7,8 @@ from claimcheck.llm import mixing, simhash, toxicity
 from claimcheck.llm.common import stored
 
 from .helpers import SF2, nothing, odd
+from .test_jaccard import slow_components
 from .test_packing import check_places, slow_pieces
-from .test_simhash import slow_groups
 
 
 def test_stages_against_brute_force(spark):
@@ -27,8 +27,8 @@ def test_stages_against_brute_force(spark):
     clean = labels.where("toxic = 0").join(before, "doc_id").count()
     assert labels.where("toxic = 0").join(after, "doc_id").count() >= 0.98 * clean
     before, after = kept["simhash"]
-    groups = slow_groups([(r.doc_id, r.text) for r in before.collect()])
-    assert sorted(r.doc_id for r in after.collect()) == sorted({c for _, _, c in groups})
+    groups = slow_components([(r.doc_id, r.text) for r in before.collect()])
+    assert sorted(r.doc_id for r in after.collect()) == sorted({c for _, c in groups})
     before, after = kept["mixing"]
     out, own = mixing.mixed(before, labels, mixing.QUALITY, keep=["doc_id"])
     want = Counter({r.doc_id: r[own].copies for r in out.collect()})
