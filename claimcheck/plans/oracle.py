@@ -640,6 +640,16 @@ _PLAIN: dict[str, str] = {
             FROM (SELECT vec_id, [x * 3::DOUBLE for x in embedding::DOUBLE[]] AS e FROM embeddings)))""",
     "topk_vectors": vector_hits("'all'", 5, 0.2),
     "topk_vectors_cells": vector_hits("'all'", 5, 0.2),
+    "topk_lsh_recall": f"""WITH v AS (SELECT vec_id, 'half' || vec_id % 2 AS source, embedding::DOUBLE[] AS e
+            FROM embeddings),
+        q AS (SELECT v.vec_id AS qid, v.source, CASE WHEN w.e IS NULL THEN v.e ELSE
+            list_transform(list_zip(v.e, w.e), lambda x: {queries.NEAR} * x[1] + {queries.BESIDE} * x[2]) END AS e
+            FROM v LEFT JOIN v w ON w.vec_id = v.vec_id + 1),
+        s AS (SELECT q.qid, q.source, p.vec_id, round(list_cosine_similarity(q.e, p.e), 6) AS score
+            FROM q JOIN v p USING (source)),
+        h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM s)
+        SELECT source, count(*) FILTER (r <= 5 AND score >= 0.55::DOUBLE) AS n_exact, true AS enough,
+            count(*) AS all_pairs, true AS fewer FROM h GROUP BY source""",
     "topk_vectors_by_source": vector_hits("a.label::VARCHAR", 5, 0.1),
     "evidence_hits": "SELECT qid, source, passage_id, score, rank FROM hits",
     "evidence_texts": """SELECT qid, source, evidence, n_retrieved, retrieval_sim_max,

@@ -19,6 +19,7 @@ from claimcheck.functions import evidence as ev
 from claimcheck.functions import parsing, prompts, routing, scoring, vectors
 from claimcheck.functions import text as tx
 from claimcheck.operators import (
+    approximate,
     cache,
     cascade,
     clean,
@@ -384,6 +385,51 @@ def topk_vectors_by_source(spark, sf_dir):
     return _vector_search(spark, sf_dir, F.col("label").cast("string"), 5, 0.1)
 
 
+#: Queries lie at about this cosine to one vector and at 0.53 to another.
+NEAR, BESIDE = 0.85, 0.53
+
+
+def _near_search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict]:
+    """A query beside each vector: most of it, and some of the vector with the next id."""
+    rows = tables.table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.concat(F.lit("half"), (F.col("vec_id") % 2).cast("string")).alias("source"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    mixed = F.zip_with("embedding", "next", lambda x, y: NEAR * x + BESIDE * y)
+    beside = rows.join(after, "vec_id", "left").select(
+        F.col("vec_id").alias("qid"), "source", F.coalesce(mixed, "embedding").alias("qvec")
+    )
+    queries = _stage(spark, sf_dir, "near_queries", lambda s, d: beside)
+    index = rows.withColumnRenamed("vec_id", "passage_id")
+    return queries, index, {"sources": ["half0", "half1"], "k": 5, "threshold": 0.55}
+
+
+def _near_join(spark: SparkSession, sf_dir: str) -> approximate.LshJoin:
+    queries, index, options = _near_search(spark, sf_dir)
+    return approximate.LshJoin(queries, index, similar=NEAR - 0.05, **options)
+
+
+@query
+def topk_lsh(spark, sf_dir):
+    return _near_join(spark, sf_dir).hits()
+
+
+@query
+def topk_lsh_recall(spark, sf_dir):
+    """Whether the approximate search keeps nine of ten hits, and with fewer comparisons."""
+    queries, index, options = _near_search(spark, sf_dir)
+    join = _near_join(spark, sf_dir)
+    counts = index.groupBy("source").count().join(queries.groupBy("source").agg(F.count("*").alias("n")), "source")
+    pairs = counts.select("source", (F.col("count") * F.col("n")).alias("all_pairs"))
+    report = approximate.recall_report(retrieval.topk_join(queries, index, **options), join.hits(), join.work(), pairs)
+    return report.select(
+        "source", "n_exact", (F.col("recall") >= 0.9).alias("enough"), "all_pairs",
+        (F.col("pairs") < F.col("all_pairs")).alias("fewer"),
+    )
+
+
 SINGLE_QUERY = "the of and to in that is for it on"
 
 
