@@ -790,6 +790,9 @@ _PLAIN: dict[str, str] = {
     "cache_latest": """SELECT case_key, arg_max(p_llm_final, seq) AS p_llm_final, arg_max(p_fast, seq) AS p_fast,
         arg_max(triggered_think, seq) AS triggered_think, arg_max(think_reasons, seq) AS think_reasons
         FROM log GROUP BY case_key""",
+    "log_lookup": """SELECT k.id, arg_max(l.p_llm_final, l.seq) AS p_llm_final,
+        arg_max(l.think_reasons, l.seq) AS think_reasons
+        FROM keyed k JOIN log l USING (case_key) WHERE k.context_original IS NOT NULL GROUP BY k.id""",
     "cache_misses": "SELECT id, case_key FROM keyed WHERE context_original IS NULL",
     "cached_scores": """SELECT id, context_original IS NOT NULL AS cached,
         CASE WHEN context_original IS NOT NULL THEN round(1 - p_llm, 6) ELSE p_llm END AS p_llm,
@@ -890,6 +893,7 @@ _PLAIN: dict[str, str] = {
 
 def statements() -> dict[str, str]:
     out = {name: _prelude(body) for name, body in _PLAIN.items()}
+    out["log_compacted"] = out["cache_latest"]
     out["scored_claims_batch"] = out["scored_claims"]
     out["evidence_counts"] = _prelude(
         " UNION ALL ".join(

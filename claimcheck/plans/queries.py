@@ -47,6 +47,7 @@ from claimcheck.session import materialize, scratch_path
 from claimcheck.sources import claims as claim_files
 from claimcheck.sources import corpus as corpus_files
 from claimcheck.sources import logs
+from claimcheck.sources.compacted import CompactedLog
 from claimcheck.streaming import scoring as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -874,6 +875,32 @@ def cache_latest(spark, sf_dir):
     return latest.select("case_key", "p_llm_final", "p_fast", "triggered_think", "think_reasons")
 
 
+@query
+def log_compacted(spark, sf_dir):
+    """The two runs as deltas, the first of them in a snapshot, the second open."""
+    rows = materialize(_log(spark, sf_dir), "log")
+    log = CompactedLog(spark, scratch_path(spark, "compacted"), part_rows=500)
+    log.append(rows.where("seq = 1"), "run-1")
+    log.compact()
+    log.append(rows.where("seq = 2"), "run-2")
+    latest = cache.debug_entries(log.read())
+    return latest.select("case_key", "p_llm_final", "p_fast", "triggered_think", "think_reasons")
+
+
+@query
+def log_lookup(spark, sf_dir):
+    """Logged scores of the claims with a context, from a snapshot of both runs."""
+    rows = materialize(_log(spark, sf_dir), "log")
+    log = CompactedLog(spark, scratch_path(spark, "compacted"), part_rows=500)
+    for seq in (1, 2):
+        log.append(rows.where(F.col("seq") == seq), f"run-{seq}")
+        log.compact()
+    keyed = cache.with_case_key(with_evidence(spark, sf_dir), CONFIG)
+    wanted = materialize(keyed.where("context_original IS NOT NULL").select("id", "case_key"), "wanted")
+    latest = cache.debug_entries(log.lookup(wanted))
+    return wanted.join(latest, "case_key").select("id", "p_llm_final", "think_reasons")
+
+
 @query
 def cache_misses(spark, sf_dir):
     keyed = cache.with_case_key(with_evidence(spark, sf_dir), CONFIG)

@@ -61,3 +61,26 @@ def test_two_jobs_on_one_log_keep_each_others_rows(spark, tmp_path):
     assert sorted(r["evidence"] for r in log.collect()) == ["evidence 0", "evidence 1", "evidence 2"]
     seqs = [r["seq"] for r in log.orderBy("evidence").collect()]
     assert seqs[0] == seqs[1] < seqs[2]
+
+
+def test_batches_ask_the_state_and_not_the_log(spark, tmp_path, monkeypatch):
+    claims(spark, [0, 1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert drain(spark, tmp_path).count() == 2
+
+    def fail(*_):
+        raise AssertionError("a batch read the log")
+
+    monkeypatch.setattr(stream, "_log_of_others", fail)
+    for ids in ([3, 4], [5, 8, 2]):
+        claims(spark, ids).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        log = drain(spark, tmp_path)
+    assert sorted(r["evidence"] for r in log.collect()) == ["evidence 0", "evidence 1", "evidence 2"]
+
+
+def test_seeds_win_over_claims_of_the_first_batch(spark, tmp_path):
+    claims(spark, [0, 1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    drain(spark, tmp_path)
+    # A new state meets known, repeated and new cases in its very first batch.
+    claims(spark, [3, 4, 5, 8, 2]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log = drain(spark, tmp_path, "other-state")
+    assert sorted(r["evidence"] for r in log.collect()) == ["evidence 0", "evidence 1", "evidence 2"]
