@@ -640,6 +640,7 @@ _PLAIN: dict[str, str] = {
             FROM (SELECT vec_id, [x * 3::DOUBLE for x in embedding::DOUBLE[]] AS e FROM embeddings)))""",
     "topk_vectors": vector_hits("'all'", 5, 0.2),
     "topk_vectors_cells": vector_hits("'all'", 5, 0.2),
+    "index_cells_appended": vector_hits("'all'", 5, 0.2),
     "topk_lsh_recall": f"""WITH v AS (SELECT vec_id, 'half' || vec_id % 2 AS source, embedding::DOUBLE[] AS e
             FROM embeddings),
         q AS (SELECT v.vec_id AS qid, v.source, CASE WHEN w.e IS NULL THEN v.e ELSE
@@ -884,6 +885,9 @@ _PLAIN: dict[str, str] = {
         WHERE {is_in("category", queries.ENABLED)}""",
     "title_lists": f"""SELECT category, {strip("title")} AS title FROM classified
         WHERE {strip("title")} <> ''""",
+    "title_lists_capped": f"""SELECT category, title FROM (SELECT category, {strip("title")} AS title,
+        row_number() OVER (PARTITION BY category ORDER BY {strip("title")}) AS n FROM classified
+        WHERE {strip("title")} <> '') WHERE n <= 10""",
     "index_table": f"""SELECT source, passage_id, sha256(source || chr(31) || text) AS passage_hash,
         {tables.ENCODER.dim} AS dim FROM passages""",
     "score_log": """SELECT case_key, seq, p_fast, p_llm_final, think_reasons AS why FROM log""",

@@ -30,6 +30,7 @@ from claimcheck.operators import (
     retrieval,
     route,
 )
+from claimcheck.operators.cells import CellIndex
 from claimcheck.plans import run, sort, tables
 from claimcheck.rules import buckets, policy
 from claimcheck.rules.cues import BENGALI
@@ -381,6 +382,21 @@ def topk_vectors_cells(spark, sf_dir):
     return _vector_search(spark, sf_dir, F.lit("all"), 5, 0.2, limits=SMALL_BLOCKS)
 
 
+@query
+def index_cells_appended(spark, sf_dir):
+    """An index built from some vectors, the others appended in two batches, one of them twice."""
+    rows = tables.table(spark, sf_dir, "embeddings").withColumn("source", F.lit("all"))
+    index = rows.select("source", F.col("vec_id").alias("passage_id"), "embedding", F.col("vec_id").alias("self"))
+    kept = CellIndex(spark, scratch_path(spark, "cells"), cell_rows=64, limits=SMALL_BLOCKS)
+    third = F.pmod(F.xxhash64("passage_id"), F.lit(3))
+    for batch, part in (("first", 0), ("second", 1), ("third", 2), ("third", 2)):
+        kept.append(index.where(third == part), batch)
+    queries = rows.select(
+        F.col("vec_id").alias("qid"), "source", F.col("embedding").alias("qvec"), F.col("vec_id").alias("self")
+    )
+    return kept.search(queries, 5, 0.2, exclude=[("self", "self")])
+
+
 @query
 def topk_vectors_by_source(spark, sf_dir):
     return _vector_search(spark, sf_dir, F.col("label").cast("string"), 5, 0.1)
@@ -1358,6 +1374,14 @@ def title_lists(spark, sf_dir):
     return corpus_files.read_titles(spark, root)
 
 
+@query
+def title_lists_capped(spark, sf_dir):
+    """The first ten titles of each list, as a trial run takes them."""
+    root = scratch_path(spark, "titles")
+    corpus_files.write_titles(corpus_files.limit_articles(_classified(spark, sf_dir), 0), root)
+    return corpus_files.read_titles(spark, root, per_category=10)
+
+
 @query
 def index_table(spark, sf_dir):
     root = scratch_path(spark, "index")

@@ -61,7 +61,7 @@ def test_plan_has_no_cross_join(spark, name):
 
 
 def test_group_limits_cut_before_the_shuffle(spark):
-    for name in ("audit_slice", "worst_samples", "title_lists"):
+    for name in ("audit_slice", "worst_samples", "title_lists_capped"):
         assert "WindowGroupLimit" in plan_text(QUERIES[name](spark, SF)), name
 
 
