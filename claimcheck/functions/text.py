@@ -33,21 +33,44 @@ MISSING_WORDS = ("", "[NULL]", "None", "nan")
 # --- end of fixed values ------------------------------------------------------------
 
 
+@functools.cache
+def _unsettled() -> str:
+    """A character class: what NFC changes, reorders or may join to the character before it.
+
+    These are the characters whose NFC quick check is not "yes".  A text without them is NFC
+    already, whatever else it holds (curly quotes, dashes, CJK, invisible characters).
+    """
+    found = [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]  # vowels and finals that Hangul joins
+    for point in range(0x300, 0x30000):  # planes above hold no such character
+        char = chr(point)
+        if unicodedata.combining(char) or not unicodedata.is_normalized("NFC", char):
+            found.append(point)
+        parts = unicodedata.decomposition(char).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            found.append(int(parts[1], 16))
+    points = sorted({x for x in found if x >= 0x300})
+    runs: list[list[int]] = []
+    for point in points:
+        if runs and runs[-1][1] == point - 1:
+            runs[-1][1] = point
+        else:
+            runs.append([point, point])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 @F.arrow_udf(T.StringType())
 def _nfc_udf(texts: pa.Array) -> pa.Array:
-    return pa.array(
-        [None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()],
-        type=pa.string(),
-    )
+    settled, normal = unicodedata.is_normalized, unicodedata.normalize
+    out = [t if t is None or settled("NFC", t) else normal("NFC", t) for t in texts.to_pylist()]
+    return pa.array(out, type=pa.string())
 
 
 def nfc(text: Column) -> Column:
     """NFC form.  Spark has no such function, so an Arrow UDF computes it.
 
-    Combining starts at U+0300: a text below that is NFC already, and only a NULL
-    crosses to the Python worker for it.
+    Only texts with a character that NFC may touch cross to the Python worker, others as NULL.
     """
-    doubtful = F.when(text.rlike(r"[^\x00-\x{2ff}]"), text)
+    doubtful = F.when(text.rlike(_unsettled()), text)
     return F.coalesce(_nfc_udf(doubtful), text)
 
 

@@ -677,6 +677,17 @@ _PLAIN: dict[str, str] = {
         len(reasons) > 0 AS triggered, budget FROM reasoned""",
     "nli_gate": """SELECT id, nli_eligible, nli_applied, nli_skip_reason, nli_p_entail,
         nli_p_contradict, nli_p_neutral, nli_margin, p_nli FROM gate""",
+    "nli_gate_reasons": f"""SELECT id, reason NOT IN ('task_not_in_nli_list', 'empty_premise', 'weak_rag_premise')
+            AS nli_eligible, reason = '' AS nli_applied, reason AS nli_skip_reason
+        FROM (SELECT id, CASE WHEN id % 7 = 0 THEN 'task_not_in_nli_list' WHEN id % 11 = 0 THEN 'empty_premise'
+            WHEN id % 3 = 0 AND k * 29 % 64 / 64.0::DOUBLE < {_NLI.min_retrieval_similarity}::DOUBLE THEN 'weak_rag_premise'
+            WHEN abs(e - c) < CASE WHEN e > c THEN {_NLI.margin_faithful}::DOUBLE ELSE {_NLI.margin_hallucinated}::DOUBLE END
+                THEN 'margin_too_low'
+            WHEN e > c AND e <= n THEN 'entail_le_neutral'
+            WHEN e > c AND k * 13 % 128 / 128.0::DOUBLE < {_NLI.fast_max_for_faithful}::DOUBLE THEN 'faithful_fast_disagrees'
+            ELSE '' END AS reason
+        FROM (SELECT id, id % 997 AS k, id % 997 * 37 % 32 / 32.0::DOUBLE AS e, id % 997 * 53 % 16 / 16.0::DOUBLE AS c,
+            id % 997 * 71 % 64 / 64.0::DOUBLE AS n FROM cleaned))""",
     "nli_masks": f"""SELECT id, abs(e - c) >= 0.2::DOUBLE AS even,
         abs(e - c) >= CASE WHEN e > c THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS uneven,
         CASE WHEN e > c THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS score

@@ -6,6 +6,7 @@ read by all queries that start from them, as separate jobs would.
 
 from __future__ import annotations
 
+import dataclasses
 import os
 from collections.abc import Callable
 
@@ -636,6 +637,25 @@ def nli_gate(spark, sf_dir):
     return cascade.gate(rows, CONFIG, SCORERS().nli).select("id", *schemas.NLI_COLUMNS)
 
 
+@query
+def nli_gate_reasons(spark, sf_dir):
+    """The gate over entailment scores of all kinds, so that every reason it knows occurs."""
+    share = lambda by, of: (F.col("id") % 997 * by % of) / F.lit(float(of))
+    rows = cleaned(spark, sf_dir).select(
+        "id", "prompt_bn", "response_bn",
+        F.when(F.col("id") % 7 == 0, "other_null").otherwise(policy.NLI_TASKS[0]).alias("task_type"),
+        F.lit(None).cast("string").alias("context_original"),
+        F.when(F.col("id") % 11 != 0, "premise").alias("context"),
+        (F.col("id") % 3 == 0).alias("rag_used"),
+        share(29, 64).alias("retrieval_sim_max"),
+        share(13, 128).alias("p_fast"),
+    )
+    scores = F.struct(share(37, 32).alias("p_entail"), share(53, 16).alias("p_contradict"), share(71, 64).alias("p_neutral"))
+    settings = dataclasses.replace(CONFIG, nli=dataclasses.replace(CONFIG.nli, require_overlap=False))
+    out = cascade.gate(rows, settings, ColumnScorer(("id",), lambda _: scores))
+    return out.select("id", "nli_eligible", "nli_applied", "nli_skip_reason")
+
+
 @query
 def nli_masks(spark, sf_dir):
     nli = lexical_nli(F.col("prompt_bn"), F.col("response_bn"))

@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -133,3 +134,22 @@ def test_evidence_irrelevant(spark):
         spark, tx.evidence_irrelevant(F.col("p"), F.col("e")), rows, "p string, e string"
     )
     assert got == [False, True, False, True, True]
+
+
+def test_nfc_looks_only_at_what_may_change(spark):
+    import unicodedata
+
+    from claimcheck.functions import text as tx
+
+    rng = random.Random(3)
+    marks = "e\u0301\u0323\u09be\u09c7\u09d7\u1100\u1161\u11a8\uac00\u212b\uf900\u2019\u4e2d\u200b\u0958\U0001d15e"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 6))) for _ in range(3000)]
+    # All characters with themselves before them and an e before them.
+    texts += ["".join(chr(c) + chr(c) + "e" + chr(c) for c in range(a, a + 256) if not 0xD800 <= c < 0xE000) for a in range(0, 0x30000, 256)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = dict(frame.select("id", tx.nfc(F.col("text"))).collect())
+    assert found == {k: unicodedata.normalize("NFC", t) for k, t in enumerate(texts)}
+    settled = frame.where(~F.col("text").rlike(tx._unsettled())).collect()
+    assert all(unicodedata.is_normalized("NFC", r.text) for r in settled) and len(settled) > 100
+    plain = spark.createDataFrame([("\u2019\u4e2d\u200b\u00ad\u2014",)], "text string")
+    assert plain.where(F.col("text").rlike(tx._unsettled())).count() == 0
