@@ -45,7 +45,7 @@ _EDGE, _OTHER = 0, 27
 _SEPARATORS = ".-_*·"
 _APART = re.compile(rf"[^\W\d_](?:[{re.escape(_SEPARATORS)}]+[^\W_]){{2,}}[{re.escape(_SEPARATORS)}]*", re.I)
 _SIGNS = "".join(LOOK_ALIKES)
-_MIXED = re.compile(rf"(?=.*[^\W\d_])(?=.*[{re.escape(_SIGNS)}])")
+_LETTER, _SIGN = re.compile(r"[^\W\d_]"), re.compile(f"[{re.escape(_SIGNS)}]")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _BREAK = re.compile("\n")
 
@@ -148,7 +148,7 @@ class Channel:
         core = low.strip("".join(c for c in set(low) if not (c.isalnum() or c in "@$€£¢¡+|!")))
         core = core.rstrip("".join(c for c in set(core) if not c.isalnum())) or core
         core = re.sub(r"^([^\w])\1+", "", core)
-        if _APART.fullmatch(core) or _RUN.search(core) or (len(core) > 2 and _MIXED.search(core) and not core[:2].isdigit()):
+        if _APART.fullmatch(core) or _RUN.search(core) or (len(core) > 2 and _LETTER.search(core) and _SIGN.search(core) and not core[:2].isdigit()):
             return self.decode(core)
         return core
 

@@ -107,3 +107,13 @@ def test_odd_rows_and_labels(spark):
     assert kept.schema == odd(spark).schema and toxicity.accepted(nothing(spark), model).collect() == []
     none = toxicity.train(odd(spark), labels.limit(0))
     assert none.pieces == () and {r.score for r in toxicity.score(odd(spark), none).collect()} == {0.5}
+
+
+def test_a_very_long_word_is_looked_at_once():
+    import time
+
+    channel = toxicity.Channel(np.zeros((28, 28, 28)))
+    begun = time.time()
+    for word in ("ab-" * 350_000, "-" * 1_000_000 + "a", "é" * 1_000_000, "a_" * 500_000):
+        assert channel.words([word])
+    assert time.time() - begun < 10
