@@ -609,6 +609,17 @@ _PLAIN: dict[str, str] = {
     "cue_flags": "SELECT id, "
     + ", ".join(["idiom", "literal", "grammar", *_MATH, "famous", "factual", "translation"])
     + ', "foreign", context_given AS context FROM flagged',
+    "cue_flags_bn": "SELECT id, "
+    + ", ".join(
+        f"{has('asked', getattr(BENGALI, n))} AS {n}"
+        for n in ["idiom", "literal", "grammar", *_MATH, "famous", "factual"]
+    )
+    + f""", {has("lower(asked)", BENGALI.translation)} AS translation,
+        regexp_matches(asked, {lit(BENGALI.foreign_word)})
+            OR regexp_matches(response_bn, {lit(BENGALI.foreign_word)}) AS "foreign",
+        context IS NOT NULL AS context FROM (SELECT *, array_to_string(string_split(prompt_bn, ' ')[1:3], ' ')
+            || ' ' || cues[id % 10007 % len(cues) + 1] || ' ও ' || cues[id % 10007 * 31 % len(cues) + 1] AS asked
+        FROM (SELECT *, [{", ".join(lit(x) for x in queries.BENGALI_CUES)}] AS cues FROM cleaned))""",
     "route_static": "SELECT id, static_task_type AS task_type FROM routed",
     "route_hybrid": "SELECT id, static_task_type, task_type FROM routed",
     "route_model": "SELECT id, model_task AS task_type FROM routed",

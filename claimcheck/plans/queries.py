@@ -221,6 +221,32 @@ def cue_flags(spark, sf_dir):
     )
 
 
+#: Every cue of the Bengali pack once, in the order of its predicates.
+BENGALI_CUES = tuple(
+    dict.fromkeys(
+        cue
+        for field in dataclasses.fields(BENGALI)
+        if isinstance(predicate := getattr(BENGALI, field.name), tuple)
+        for rule in predicate
+        for group in rule
+        for cue in group
+    )
+)
+
+
+@query
+def cue_flags_bn(spark, sf_dir):
+    """The Bengali pack over the claims, each question with two of its cues put in."""
+    words = F.array(*[F.lit(x) for x in BENGALI_CUES])
+    cue = lambda by: F.get(words, (F.col("id") % 10007 * by % len(BENGALI_CUES)).cast("int"))
+    asked = F.concat_ws(" ", F.substring_index("prompt_bn", " ", 3), cue(1), F.lit("ও"), cue(31))
+    rows = cleaned(spark, sf_dir).withColumn("prompt_bn", asked)
+    rows = route.with_cues(rows, dataclasses.replace(CONFIG.router, cues=BENGALI))
+    return rows.select(
+        "id", *[F.col(n).alias(n.removeprefix(routing.FLAG_PREFIX)) for n in routing.flag_names()]
+    )
+
+
 @query
 def route_static(spark, sf_dir):
     return route.route_static(cleaned(spark, sf_dir), CONFIG.router).select("id", "task_type")

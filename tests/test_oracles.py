@@ -74,3 +74,14 @@ def test_reports_read_only_their_columns(spark):
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert sum(r["count"] for r in rows) == 34
+
+
+def test_every_reason_and_nearly_every_bengali_flag_occurs(spark):
+    rows = QUERIES["nli_gate_reasons"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.nli_skip_reason for r in rows} == {
+        "", "task_not_in_nli_list", "empty_premise", "weak_rag_premise", "margin_too_low", "entail_le_neutral",
+        "faithful_fast_disagrees",
+    }
+    flags = [r.asDict() for r in QUERIES["cue_flags_bn"](spark, "/root/testdata/sf0.01").collect()]
+    seen = {name for row in flags for name, value in row.items() if name != "id" and value}
+    assert len(seen) >= len(flags[0]) - 2
