@@ -55,7 +55,8 @@ def _unsettled() -> str:
             runs[-1][1] = point
         else:
             runs.append([point, point])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+    # The long list is asked about characters from U+0300 on only, as most lie below.
+    return r"[\x{300}-\x{2ffff}&&[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]]"
 
 
 @F.arrow_udf(T.StringType())
