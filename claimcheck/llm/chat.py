@@ -133,14 +133,76 @@ def digests(rendered: DataFrame) -> DataFrame:
 
 
 PROBE = "\\### Assistant: </turn> ok"
+LOGGED = "array<struct<later:int,kind:string,role:string,text:string>>"
+
+
+#: Deltas a text is streamed in at most; each has ``DELTA_CHARS`` code points or more, the last aside.
+DELTAS, DELTA_CHARS = 64, 24
+#: Sequence numbers kept free for the events of one turn.
+_EVENTS = 256
 
 
 def as_log(turns: DataFrame) -> DataFrame:
-    """Finished turns as a log: each row is a turn's whole message, rows of one turn one after another."""
+    """The log ``conv_id, turn, seq, kind, role, text`` of chats that end in ``turns`` (``conv_id, turn, role, text``).
+
+    Rows of a conversation count as turns in order of turn, role and text, nulls first, each
+    row one turn, repeated rows too.  A text arrives as an empty message and deltas; a hash of
+    conversation and place picks what happened before:
+
+    - two turns of five are streamed as they are,
+    - one is streamed wrong first and replaced by an ``edit``, after which the rest arrives,
+    - one is streamed wrong first, answered, and begun anew by ``regenerate``, which makes the answer void,
+    - one is streamed wrong, edited and then regenerated.
+
+    The first event of a turn names its role.  Null texts are streamed as empty ones; an empty
+    text has no delta.  Folding the log gives the turns back; other columns are not read.
+    """
     over = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     place = F.row_number().over(over).cast("long")
-    return turns.select(
-        "conv_id", place.alias("turn"), place.alias("seq"), F.lit("message").alias("kind"), "role", "text"
+    rows = turns.select("conv_id", place.alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select(
+        "*",
+        F.greatest(F.lit(DELTA_CHARS), F.ceil(F.length("text") / DELTAS).cast("int")).alias("step"),
+        F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)).alias("course"),
+    )
+    none = F.lit(None).cast("string")
+
+    def event(kind: str, text: Column, role: Column = none, later: int = 0) -> Column:
+        return F.struct(
+            F.lit(later).alias("later"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text")
+        )
+
+    def happened(*events: Column, course: tuple[int, ...]) -> Column:
+        nothing = F.array().cast(LOGGED)
+        return F.when(F.col("course").isin(*course), F.array(*events).cast(LOGGED)).otherwise(nothing)
+
+    whole = F.ceil(F.length("text") / F.col("step")).cast("int")
+    numbers = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>"))
+    pieces = F.transform(numbers, lambda k: F.substring(F.col("text"), k * F.col("step") + 1, F.col("step")))
+    # What ends a wrong text carries the first piece itself.
+    first = F.coalesce(F.get(pieces, F.lit(0)), F.lit(""))
+    carried = F.when(F.col("course") >= 2, F.slice(pieces, 2, DELTAS)).otherwise(pieces)
+    wrong = F.reverse("text")
+    events = F.concat(
+        F.array(event("message", F.lit(""), F.col("role"))).cast(LOGGED),
+        happened(event("delta", wrong), event("delta", F.lit(" ...")), course=(2, 3, 4)),
+        happened(event("edit", first), course=(2, 4)),
+        happened(
+            event("message", wrong, F.lit("user"), later=1),
+            event("delta", F.lit("void"), later=1),
+            event("regenerate", first),
+            course=(3, 4),
+        ),
+        F.transform(carried, lambda x: event("delta", x)).cast(LOGGED),
+    )
+    logged = rows.select("conv_id", "turn", F.posexplode(events).alias("at", "event"))
+    return logged.select(
+        "conv_id",
+        (F.col("turn") + F.col("event.later")).alias("turn"),
+        (F.col("turn") * _EVENTS + F.col("at")).alias("seq"),
+        "event.kind",
+        "event.role",
+        "event.text",
     )
 
 

@@ -55,6 +55,31 @@ def read_back(spark, rows):
     return {r.conv_id: r for r in read.collect()}
 
 
+def test_log_of_finished_turns(spark):
+    rng = random.Random(11)
+    texts = ["", None, "short", "é😀" * 40, "x" * 23, "y" * 24, "z" * 25, "long <text> # " * 700, "w" * 64 * 24, "v" * 64 * 24 + "u"]
+    roles = ["user", "assistant", None, "system"]
+    rows = [(conv, t, rng.choice(roles), rng.choice(texts)) for conv in [*range(25), None] for t in [0, 1, 1, 2, None, 3]]
+    rows += [(99, 0, "user", "again"), (99, 0, "user", "again"), (98, 5, None, None)]
+    log = chat.as_log(spark.createDataFrame([(*r, "x", 1, 2) for r in rows], TURNS))
+    events = [tuple(r) for r in log.collect()]
+    kinds = {r[3] for r in events}
+    assert kinds == {"message", "delta", "edit", "regenerate"}
+    assert len({r[:1] + r[2:3] for r in events}) == len(events)
+    assert len(events) > 3 * len(rows)
+    low = lambda x: (x is not None, x)
+    want = []
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (low(r[1]), low(r[2]), low(r[3])))
+        want += [(conv, k, r[2], r[3] or "") for k, r in enumerate(own, 1)]
+    got = [tuple(r) for r in chat.fold(log).collect()]
+    order = lambda r: (low(r[0]), r[1])
+    assert sorted(got, key=order) == sorted(want, key=order)
+    # What is shown without folding differs: void turns and wrong texts are in the log.
+    assert any(r[3] == "delta" and r[5] == "void" for r in events)
+    assert {r[:2] for r in events} > {r[:2] for r in got}
+
+
 def test_round_trip_of_hostile_texts(spark):
     rng = random.Random(2)
     bits = ["###", "\\", "<", "</turn>", "\n", ": ", "#", "\\b", "\\l", "é", "😀", "### Assistant: ", "</turn>\n", "x", "$1", "\\Q"]
