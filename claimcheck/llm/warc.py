@@ -28,6 +28,8 @@ ARCHIVE_BYTES = 16_000_000
 VERSION = b"WARC/1.1\r\n"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION_LINE = re.compile(rb"WARC/\d\.\d\r?\n")
+#: Bytes that a damaged member is unpacked by.
+_STEP = 4096
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _ID = "urn:page:"
 _NOTHING = hashlib.sha256(b"").hexdigest()
@@ -118,13 +120,77 @@ def _plain(data: bytes, base: int) -> Iterator[tuple[int, Record] | Gap]:
         yield Gap(base + bad, len(data) - bad, why)
 
 
+def _unpacked(data: bytes, at: int) -> tuple[bytes, list[tuple[int, int]], bool]:
+    """What the member at ``at`` gives before its damage, step by step, and whether it was only cut short.
+
+    The steps are places in the file with the bytes that came out up to there.
+    """
+    unpack, out, marks = zlib.decompressobj(31), [], [(at, 0)]
+    got = 0
+    for begin in range(at, len(data), _STEP):
+        try:
+            out.append(unpack.decompress(data[begin : begin + _STEP]))
+        except zlib.error:
+            # Once more, byte by byte, for what the step gave before its damage.
+            unpack = _replayed(data, at, begin)
+            for k in range(begin, min(begin + _STEP, len(data))):
+                try:
+                    out.append(unpack.decompress(data[k : k + 1]))
+                except zlib.error:
+                    break
+                got += len(out[-1])
+                marks.append((k + 1, got))
+            return b"".join(out), marks, False
+        got += len(out[-1])
+        marks.append((min(begin + _STEP, len(data)), got))
+    return b"".join(out), marks, True
+
+
+def _replayed(data: bytes, at: int, stop: int) -> zlib._Decompress:
+    unpack = zlib.decompressobj(31)
+    unpack.decompress(data[at:stop])
+    return unpack
+
+
+def _before_damage(data: bytes, at: int) -> tuple[list[Record], int]:
+    """Complete records of the damaged member at ``at``, and the place by which the last had come out.
+
+    The member's own check is lost, so a record counts if it names a digest of its block and
+    that is right; one without a digest only if the member is cut short, not damaged, and a
+    version line follows the record.
+    """
+    out, marks, cut = _unpacked(data, at)
+    kept: list[Record] = []
+    place = end = 0
+    while place < len(out):
+        got = _parse(out, place)
+        if isinstance(got, str):
+            following = _VERSION_LINE.search(out, place + 1)
+            place = following.start() if following else len(out)
+            continue
+        place = got[1]
+        if "WARC-Block-Digest" in got[0].headers or (cut and _VERSION_LINE.match(out, place)):
+            kept.append(got[0])
+            end = place
+    if not kept:
+        return [], at
+    begin, have = max((m for m in marks if m[1] < end), default=marks[0])
+    unpack = _replayed(data, at, begin)
+    while have < end:
+        have += len(unpack.decompress(data[begin : begin + 1]))
+        begin += 1
+    return kept, begin
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, Record] | Gap]:
     """All records of an archive file with their places, and the gaps between them.
 
     After a damaged member, plain bytes may be what it stored; a plain record there counts
     only if it names a digest of its block, and that is right.  Gzip members and plain records may follow each other.  The place of a record is the byte
     of the file where it, or its member, begins; a damaged record inside a sound member is a
-    gap of the member's length.  Empty members and an empty file hold nothing.
+    gap of the member's length.  What a damaged or cut member gave before its damage is read too
+    (``_before_damage``): its records stand at the member's place, its bytes stay a gap.  Empty
+    members and an empty file hold nothing.
     """
     at, bad, why, doubt = 0, -1, "", False
     while at < len(data):
@@ -150,7 +216,12 @@ def salvage(data: bytes) -> Iterator[tuple[int, Record] | Gap]:
         if bad < 0:
             bad, why = at, got
         doubt = doubt or zipped
-        member, line = data.find(_MAGIC, at + 1), _VERSION_LINE.search(data, at + 1)
+        after = at + 1
+        if zipped:
+            saved, past = _before_damage(data, at)
+            yield from ((at, x) for x in saved)
+            after = max(after, past)
+        member, line = data.find(_MAGIC, after), _VERSION_LINE.search(data, after)
         at = min([x for x in (member, line.start() if line else -1) if x >= 0], default=len(data))
     if bad >= 0:
         yield Gap(bad, len(data) - bad, why)

@@ -85,6 +85,37 @@ def test_salvage_of_plain_records():
     assert kept == [0, 7] and gaps[0].length == len(inside)
 
 
+def plain_record(k, block, digest):
+    headers = {"WARC-Type": "response", "WARC-Record-ID": f"<urn:page:{k}>"}
+    if digest:
+        headers["WARC-Block-Digest"] = "sha256:" + hashlib.sha256(block).hexdigest()
+    return gzip.decompress(warc.record(headers, block))
+
+
+def test_records_before_the_damage_of_a_long_member():
+    rng = random.Random(3)
+    for digest in (True, False):
+        for level in (0, 1, 9):
+            blocks = [bytes(rng.choice(b"abcdefgh") for _ in range(rng.randrange(20, 3000))) for _ in range(50)]
+            plain = [plain_record(k, b, digest) for k, b in enumerate(blocks)]
+            whole = gzip.compress(b"".join(plain), level)
+            kept, gaps = ids(whole[:-200])
+            # The last record may be cut off; without a digest one needs a successor.
+            assert kept == list(range(len(kept))) and len(kept) >= 48 and len(kept) < 51
+            assert [(g.offset, g.length) for g in gaps] == [(0, len(whole) - 200)]
+            next_one = member(70, b"sound" * 99)
+            broken = bytearray(whole)
+            at = len(whole) * 3 // 4
+            broken[at : at + 40] = bytes(rng.randrange(256) for _ in range(40))
+            kept, gaps = ids(bytes(broken) + next_one)
+            assert kept[-1] == 70 and gaps[0].offset == 0
+            assert len(set(kept)) == len(kept)
+            if digest:
+                assert kept[:-1] == sorted(kept[:-1]) and len(kept) >= 30
+            for k, record in [(int(x[1].headers["WARC-Record-ID"][10:-1]), x[1]) for x in warc.salvage(bytes(broken)) if not isinstance(x, warc.Gap)]:
+                assert record.block == blocks[k]
+
+
 def test_every_byte_is_in_a_record_or_a_gap():
     rng = random.Random(0)
     # Text that deflate does not store as it is, so a member holds no plain record.
