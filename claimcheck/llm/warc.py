@@ -28,8 +28,8 @@ ARCHIVE_BYTES = 16_000_000
 VERSION = b"WARC/1.1\r\n"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION_LINE = re.compile(rb"WARC/\d\.\d\r?\n")
-#: Bytes that a damaged member is unpacked by.
-_STEP = 4096
+#: Bytes that a member is unpacked by, and a damaged one.
+_SLICE, _STEP = 16_384, 4096
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _ID = "urn:page:"
 _NOTHING = hashlib.sha256(b"").hexdigest()
@@ -90,14 +90,19 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
 
 def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
     """What the gzip member at ``at`` holds and the place after it, or what is wrong with it."""
-    unpack = zlib.decompressobj(31)
+    unpack, out, stop = zlib.decompressobj(31), [], at
+    view = memoryview(data)
     try:
-        out = unpack.decompress(memoryview(data)[at:])
+        # In slices, as what follows the member is copied out of the last of them.
+        while not unpack.eof and stop < len(data):
+            piece = view[stop : stop + _SLICE]
+            out.append(unpack.decompress(piece))
+            stop += len(piece)
     except zlib.error as error:
         return f"member is damaged: {error}"
     if not unpack.eof:
         return "member is cut short"
-    return out, len(data) - len(unpack.unused_data)
+    return b"".join(out), stop - len(unpack.unused_data)
 
 
 def _plain(data: bytes, base: int) -> Iterator[tuple[int, Record] | Gap]:
@@ -232,7 +237,8 @@ def with_types(pages: DataFrame) -> DataFrame:
 
     Of pages with equal payloads of at least ``LEAST_SHARED`` bytes that with the smallest
     page_id is the response; rows that repeat that id are responses too, and so is a payload
-    whose pages all lack an id.  Only ids and digests are shuffled to find it.
+    whose pages all lack an id.  Finding the first shuffles ids and digests; joining it back deals
+    every page out by its digest once, payload included.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
