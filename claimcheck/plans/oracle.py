@@ -849,6 +849,10 @@ _PLAIN: dict[str, str] = {
         count(*) OVER (PARTITION BY bucket) AS n_in_bucket,
         sum(greatest(len(facts), 1)) OVER (PARTITION BY bucket)::BIGINT AS n_written FROM sorted""",
     "claims_json_array": "SELECT id, context, prompt_bn, response_bn FROM claims",
+    "claims_csv_split": """SELECT id, context, replace(prompt_bn, ' the ', ' "the",' || chr(10) || '}]{ ') AS prompt_bn,
+        response_bn FROM claims""",
+    "claims_json_split": """SELECT id, context, replace(prompt_bn, ' the ', ' "the",' || chr(10) || '}]{ ') AS prompt_bn,
+        response_bn FROM claims""",
     "corpus_folder": f"""SELECT source, CASE WHEN source <> 'literal' THEN text END AS text,
         source = 'literal' AS malformed,
         CASE WHEN source = 'literal' THEN count(*) OVER (PARTITION BY source) END AS n_broken

@@ -1305,17 +1305,40 @@ def claims_json(spark, sf_dir):
     return claim_files.read_claims_json(spark, path, array=False)
 
 
-@query
-def claims_json_array(spark, sf_dir):
+def _json_arrays(claims: DataFrame) -> str:
     """Files that hold one JSON array each, of about a thousand claims."""
-    path = scratch_path(spark, "json-array")
-    claims = tables.claims(spark, sf_dir)
+    path = scratch_path(claims.sparkSession, "json-array")
     parts = F.lit(1 + claims.count() // 1000)
     arrays = claims.groupBy(F.pmod(F.xxhash64("id"), parts).alias("part")).agg(
         F.to_json(F.collect_list(F.struct(*claims.columns))).alias("value")
     )
     arrays.write.partitionBy("part").text(path)
-    return claim_files.read_claims_json(spark, path).select(*claims.columns)
+    return path
+
+
+@query
+def claims_json_array(spark, sf_dir):
+    claims = tables.claims(spark, sf_dir)
+    return claim_files.read_claims_json(spark, _json_arrays(claims)).select(*claims.columns)
+
+
+def _awkward_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims whose questions hold quotes, separators, brackets and line breaks."""
+    question = F.replace("prompt_bn", F.lit(" the "), F.lit(' "the",\n}]{ '))
+    return tables.claims(spark, sf_dir).withColumn("prompt_bn", question)
+
+
+@query
+def claims_csv_split(spark, sf_dir):
+    path = scratch_path(spark, "csv-split")
+    claim_files.write_csv(_awkward_claims(spark, sf_dir), path)
+    return claim_files.read_claims_csv_split(spark, path)
+
+
+@query
+def claims_json_split(spark, sf_dir):
+    claims = _awkward_claims(spark, sf_dir)
+    return claim_files.read_claims_json_split(spark, _json_arrays(claims)).select(*claims.columns)
 
 
 @query
