@@ -9,11 +9,13 @@ next token is taken or failure arcs are followed until a state has it.
 
 Counts are too many to hold in one place, so they never are: the corpus is stored in blocks of
 tokens, every block asks for the counts of the n-grams it holds, and one shuffle of packed,
-sorted keys both adds up the counts and answers the blocks.
+sorted keys both adds up the counts and answers the blocks.  From the answers each block builds
+the part of the automaton that its own texts can reach, and walks it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ ORDER = 2
 MASS = 500.0
 #: A block is closed at about so many characters; a longer text is a block of its own.
 BLOCK_CHARS = 6_000_000
+#: Fewer texts of a block than this are read one by one, not a step of all at once.
+FEW = 24
 #: Keys that one task adds up.
 PART_KEYS = 3_000_000
 FOLDS, HELD_FOLD = 5, 1
@@ -124,25 +128,127 @@ class Block:
         counts = np.bincount(inverse[learn], minlength=len(distinct)).astype(np.uint32)
         return distinct, counts, np.split(inverse, len(self.keys))
 
-    def read(self, counts: list[np.ndarray], n: int, texts: int, words: int, mass: float) -> tuple:
-        """Base score, score and known tokens of each text, from the counts of its n-grams.
+    def read(
+        self, places: list[np.ndarray], counts: np.ndarray, n: int, texts: int, words: int, mass: float
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Base score, score and known tokens of each text: one walk of the automaton over each."""
+        automaton = Automaton(self, places, counts, n, texts, words, mass)
+        base = np.add.reduceat(automaton.unigram[places[0]], self.firsts)
+        known = np.add.reduceat((counts[places[0]] > 0).astype(np.int64), self.firsts)
+        return base, automaton.walk(places[0], self.firsts, self.sizes), known
 
-        The weight of the next token from a state: its arc, or the failure arc's weight times
-        the weight from the shorter context.  Written for all tokens of the block at once; a
-        state that training has not seen has count 0, and its failure arc weight 1.
+
+class Automaton:
+    """The states and arcs that the texts of a block can reach, weighted by the corpus's counts.
+
+    A state is the number of its context among the block's distinct n-grams; ``empty`` and
+    ``begin`` follow them.  Arcs are sorted by state and token.  An n-gram that training has not
+    seen is neither a state nor an arc, but for the arcs of the empty context, which has every
+    token.  All weights are kept as logarithms to base 10.
+    """
+
+    def __init__(
+        self, block: Block, places: list[np.ndarray], counts: np.ndarray, n: int, texts: int, words: int, mass: float
+    ):
+        order = len(places)
+        self.empty, self.begin, self.width = len(counts), len(counts) + 1, len(counts) + 2
+        self.first = self.begin if order > 1 else self.empty
+        weight = (counts + 0.5) / (n + 0.5 * (words + 1))  # of tokens; longer n-grams follow
+        self.unigram = np.log10(weight)
+        grams = np.arange(len(counts))
+        self.after = np.where((counts > 0) & (order > 1), grams, self.empty)
+        total = np.append(counts, [0.0, texts])
+        self.failure = np.full(self.width, self.empty)
+        states, tokens, weights, nexts = [], [], [], []
+        for k in range(2, order + 1):
+            inside = np.flatnonzero(block.place >= k - 2)
+            found, at = np.unique(places[k - 1][inside], return_index=True)
+            at = inside[at]
+            if k < order:
+                self.failure[found] = places[k - 2][at]
+            found, at = found[counts[found] > 0], at[counts[found] > 0]
+            state = np.where(block.place[at] > 0, places[k - 2][at - 1], self.begin)
+            weight[found] = (counts[found] + mass * weight[places[k - 2][at]]) / (total[state] + mass)
+            states.append(state)
+            tokens.append(places[0][at])
+            weights.append(np.log10(weight[found]))
+            nexts.append(found if k < order else places[k - 2][at])
+        self.failing = np.log10(mass / (total + mass))
+        none = [np.zeros(0, dtype=np.int64)]
+        state, token = np.concatenate(states or none), np.concatenate(tokens or none)
+        sort = np.argsort(state * self.width + token)
+        self.arcs = (state * self.width + token)[sort]
+        self.weights = np.concatenate(weights or [np.zeros(0)])[sort]
+        self.nexts = np.concatenate(nexts or none)[sort].astype(np.int64)
+
+    def walk(self, tokens: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The log-probability of each text, read once from left to right.
+
+        All texts take a step together, the longest first, so those that still go on are in
+        front; the last few go on alone.
         """
-        base = weight = (counts[0] + 0.5) / (n + 0.5 * (words + 1))
-        for k in range(2, len(counts) + 1):
-            state = np.concatenate([[0.0], counts[k - 2][:-1]])  # the context ended one token before
-            if k == 2:
-                state[self.place == 0] = texts
-            seen = np.where(self.place >= k - 2, counts[k - 1], 0.0)
-            state = np.where(self.place >= k - 2, state, 0.0)
-            arc, failure = seen / (state + mass), mass / (state + mass)
-            weight = arc + failure * weight
-        summed = [np.add.reduceat(np.log10(x), self.firsts) for x in (base, weight)]
-        known = np.add.reduceat((counts[0] > 0).astype(np.int64), self.firsts)
-        return (*summed, known)
+        by_size = np.argsort(-sizes, kind="stable")
+        going = np.searchsorted(-sizes[by_size], -np.arange(sizes.max(initial=0)), side="left")
+        places = firsts[by_size]
+        state, score = np.full(len(sizes), self.first), np.zeros(len(sizes))
+        step = 0
+        while step < len(going) and going[step] >= FEW:
+            k = going[step]
+            state[:k], gained = self._step(state[:k], tokens[places[:k] + step])
+            score[:k] += gained
+            step += 1
+        if step < len(going):
+            begins = memoryview(np.searchsorted(self.arcs, np.arange(self.width + 1) * self.width))
+            for k in range(going[step]):
+                rest = tokens[places[k] + step : places[k] + sizes[by_size[k]]]
+                score[k] += self._alone(int(state[k]), rest, begins)
+        out = np.empty(len(sizes))
+        out[by_size] = score
+        return out
+
+    def _step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states and what the step adds, failure arcs included."""
+        gained = np.zeros(len(state))
+        reached = np.empty(len(state), dtype=np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            last = state == self.empty
+            done = left[last]
+            gained[done] += self.unigram[token[last]]
+            reached[done] = self.after[token[last]]
+            left, state, token = left[~last], state[~last], token[~last]
+            if not len(left):
+                break
+            wanted = state * self.width + token
+            at = np.minimum(np.searchsorted(self.arcs, wanted), max(0, len(self.arcs) - 1))
+            has = self.arcs[at] == wanted if len(self.arcs) else np.zeros(len(left), dtype=bool)
+            gained[left[has]] += self.weights[at[has]]
+            reached[left[has]] = self.nexts[at[has]]
+            left, state, token = left[~has], state[~has], token[~has]
+            gained[left] += self.failing[state]
+            state = self.failure[state]
+        return reached, gained
+
+    def _alone(self, state: int, tokens: np.ndarray, begins: memoryview) -> float:
+        """The same walk for one text."""
+        arcs, nexts, weights = memoryview(self.arcs), memoryview(self.nexts), memoryview(self.weights)
+        failure, failing = memoryview(self.failure), memoryview(self.failing)
+        unigram, after = memoryview(self.unigram), memoryview(self.after)
+        score, empty, width = 0.0, self.empty, self.width
+        for token in tokens.tolist():
+            while state != empty:
+                wanted, stop = state * width + token, begins[state + 1]
+                at = bisect_left(arcs, wanted, begins[state], stop)
+                if at < stop and arcs[at] == wanted:
+                    score += weights[at]
+                    state = nexts[at]
+                    break
+                score += failing[state]
+                state = failure[state]
+            else:
+                score += unigram[token]
+                state = after[token]
+        return score
 
 
 def scores(docs: DataFrame, order: int = ORDER, mass: float = MASS) -> DataFrame:
@@ -191,7 +297,7 @@ def scores(docs: DataFrame, order: int = ORDER, mass: float = MASS) -> DataFrame
             block = Block(row, order)
             _, _, places = block.asked()
             counts = np.concatenate([_unpacked(x["counts"]) for x in row["counts"]]).astype(float)
-            base, score, known = block.read([counts[p] for p in places], learnt, texts, words, mass)
+            base, score, known = block.read(places, counts, learnt, texts, words, mass)
             every = np.full(len(block.ids), learnt)
             ids = pa.array(block.ids, mask=block.nameless)
             columns = [ids, ~block.learnt, block.sizes, known, every, base, score]

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,50 @@ def test_against_walking_dictionaries(spark, order, mass, monkeypatch):
     compare(spark, docs, order, mass)
 
 
+def closed_form(block, places, counts, n, texts, words, mass):
+    """The same scores without an automaton: counts interpolated, shorter contexts first."""
+    seen = [counts[p] for p in places]
+    weight = (seen[0] + 0.5) / (n + 0.5 * (words + 1))
+    for k in range(2, len(seen) + 1):
+        context = np.concatenate([[0.0], seen[k - 2][:-1]])
+        if k == 2:
+            context[block.place == 0] = texts
+        inside = block.place >= k - 2
+        context = np.where(inside, context, 0.0)
+        weight = (np.where(inside, seen[k - 1], 0.0) + mass * weight) / (context + mass)
+    return np.add.reduceat(np.log10(weight), block.firsts)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("few", [0, 3, 10**9])
+def test_walk_equals_closed_form(order, few, monkeypatch):
+    monkeypatch.setattr(automaton, "FEW", few)
+    rng = np.random.default_rng(order)
+    sizes = [0, 0, 1, 1, 2, 5, 40, 300, *rng.integers(0, 30, 40)]
+    codes = rng.zipf(1.4, sum(sizes)).clip(max=60) - 1
+    cells = {
+        "ids": np.arange(len(sizes)),
+        "marks": (np.arange(len(sizes)) % 3 == 1).astype(np.uint8),
+        "offsets": np.concatenate([[0], np.cumsum(sizes)]),
+        "codes": codes.astype(np.uint32),
+        "hashes": np.array([automaton._hash(f"w{k}") for k in range(60)], dtype=np.uint64),
+    }
+    block = automaton.Block({k: automaton._packed(v) for k, v in cells.items()}, order)
+    distinct, counts, places = block.asked()
+    n, texts = int(block.sizes[block.learnt].sum()), int(block.learnt.sum())
+    words = int(((distinct & np.uint64(1) == 1) & (counts > 0)).sum())
+    args = (places, counts.astype(float), n, texts, words, 7.0)
+    base, score, known = block.read(*args)
+    assert score == pytest.approx(closed_form(block, *args), rel=1e-12)
+    if order == 1:
+        assert score == pytest.approx(base, rel=1e-12)
+    held = counts[places[0]] == 0
+    assert held.any() and (known <= block.sizes).all()
+    # Nothing learnt: every arc but those of the empty context is gone.
+    blind = block.read(places, counts * 0.0, 0, 0, 0, 7.0)
+    assert (blind[1] == 0).all() and (blind[2] == 0).all()
+
+
 def test_odd_rows(spark):
     docs = odd(spark).withColumn("held", F.col("doc_id") == 7)
     model = compare(spark, docs, 2, 10.0)
@@ -98,8 +143,6 @@ def test_held_out_texts_are_likelier_than_by_words_alone(spark):
 
 
 def test_packed_numbers_come_back():
-    import numpy as np
-
     keys = np.sort(np.random.default_rng(0).integers(0, 2**64 - 1, 1000, dtype=np.uint64))
     assert (automaton._unpacked_keys(automaton._packed_keys(keys)) == keys).all()
     assert len(automaton._unpacked(automaton._packed(np.zeros(0, dtype=np.int64)))) == 0
