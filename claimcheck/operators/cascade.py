@@ -5,6 +5,8 @@ Each stage works only on rows that the cheaper ones left open.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,25 +37,37 @@ def with_prompts(claims: DataFrame) -> DataFrame:
     )
 
 
-def run_stage(df: DataFrame, scorer: Scorer, out: str, where: Column) -> DataFrame:
+def run_stage(
+    df: DataFrame,
+    scorer: Scorer,
+    out: str,
+    where: Column,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Add the output of a scorer for the rows that need it.
 
     A costly scorer gets those rows spread evenly over all tasks, similar work side by
-    side; the frame is stored first because both branches read it.
+    side; the frame is stored first because both branches read it.  ``prepare`` adds columns
+    that only the scorer reads, such as prompts: it is applied to the rows that were picked,
+    after they are dealt out, and what it adds is neither stored nor shuffled nor kept.
     """
+    prepare = prepare or (lambda rows: rows)
     if not scorer.costly:
-        return df.withColumn(out, scorer.column(where))
+        return prepare(df).withColumn(out, scorer.column(where)).select(*df.columns, out)
     base = materialize(df.withColumn("_todo", F.coalesce(where, F.lit(False))), "open")
     order = [c for c in ("think_budget",) if c in df.columns]
     # The number of a stored row: it needs no key column, and equal rows are spread too.
-    todo = (
+    dealt = (
         base.where("_todo")
         .withColumn("_spread", F.xxhash64(F.monotonically_increasing_id()))
         .repartition("_spread")
-        .sortWithinPartitions(*order, F.length(F.col(scorer.inputs[0]).cast("string")))
         .drop("_spread")
-        .withColumn(out, scorer.column(F.lit(True)))
     )
+    # Sorted by length alone, so that the sort does not carry what is prepared.
+    length = F.length(F.col(scorer.inputs[0]).cast("string"))
+    sized = prepare(dealt).select(*dealt.columns, length.alias("_length"))
+    ready = prepare(sized.sortWithinPartitions(*order, "_length").drop("_length"))
+    todo = ready.withColumn(out, scorer.column(F.lit(True))).select(*base.columns, out)
     rest = base.where(~F.col("_todo")).withColumn(out, F.lit(None).cast(todo.schema[out].dataType))
     return todo.unionByName(rest).drop("_todo")
 
@@ -158,11 +172,13 @@ def score_claims(
     else:
         rows, cached = keyed, F.lit(False)
     rows = rows.withColumn("cached", cached)
-    if {"fast_prompt", "think_prompt"} & {*scorers.fast.inputs, *scorers.think.inputs}:
-        rows = with_prompts(rows)
+    prompted = {
+        name: with_prompts if {"fast_prompt", "think_prompt"} & {*scorer.inputs} else None
+        for name, scorer in (("fast", scorers.fast), ("think", scorers.think))
+    }
 
     still_open = ~F.col("cached")
-    rows = run_stage(rows, scorers.fast, "p_fast", still_open)
+    rows = run_stage(rows, scorers.fast, "p_fast", still_open, prompted["fast"])
     cues = config.router.cues
     asks_fact = tx.holds(F.coalesce(F.col("prompt_bn"), F.lit("")), cues.factual)
     reasons = scoring.think_reasons(
@@ -189,7 +205,7 @@ def score_claims(
     rows = rows.withColumns(
         {"wants_think": still_open & wants_think, "thinks": still_open & think_now}
     )
-    rows = run_stage(rows, scorers.think, "thinking_cot", F.col("thinks"))
+    rows = run_stage(rows, scorers.think, "thinking_cot", F.col("thinks"), prompted["think"])
     return merge_scores(rows, log is not None)
 
 

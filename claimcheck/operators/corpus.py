@@ -248,9 +248,11 @@ def sort_lines(rows: DataFrame, scorer: Scorer, text_column: str = "input_text")
     ``reworded_facts`` (the facts, or the rewording as it is when it has none).
     """
     readable = F.col("error").isNull()
-    if "sort_prompt" in scorer.inputs:
-        rows = rows.withColumn("sort_prompt", prompts.sort_prompt(F.col(text_column)))
-    asked = run_stage(rows, scorer, "_answer", readable).drop("sort_prompt")
+
+    def prompted(lines: DataFrame) -> DataFrame:
+        return lines.withColumn("sort_prompt", prompts.sort_prompt(F.col(text_column)))
+
+    asked = run_stage(rows, scorer, "_answer", readable, prompted if "sort_prompt" in scorer.inputs else None)
     cleaned = asked.withColumn("_clean", parsing.clean_model_output(F.col("_answer")))
     read = cleaned.withColumns(
         {

@@ -312,6 +312,38 @@ def test_scorers_may_read_prompts(spark):
     assert out[3]["p_fast"] == 0.5 and out[3]["p_llm"] == 0.90
 
 
+def test_prompts_are_built_after_rows_are_stored_and_dealt_out(spark):
+    import pandas as pd
+
+    long = "fixed words " * 300
+
+    def load():
+        def score(rows: pd.DataFrame) -> pd.Series:
+            return rows["prompt"].str.len() + 0.0
+
+        return score
+
+    scorer = BatchScorer(("prompt",), T.DoubleType(), load)
+    rows = spark.range(200).select("id", F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")).alias("text"))
+    asked = (F.col("id") % 2 == 0) | F.when(F.col("id") < 10, F.lit(None).cast("boolean"))
+
+    def prepare(df):
+        return df.withColumn("prompt", F.concat(F.lit(long), F.col("text")))
+
+    out = run_stage(rows, scorer, "score", asked, prepare)
+    assert out.columns == ["id", "text", "score"]
+    want = {k: len(long) + k % 9.0 if k % 2 == 0 else None for k in range(200)}
+    assert {r["id"]: r["score"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    exchange = next(i for i, line in enumerate(plan) if "Exchange hash" in line)
+    # Neither the stored frame nor what is dealt out holds the fixed words, and no sort carries them.
+    assert not any("fixed words" in line for line in plan[exchange:] if "ArrowEvalPython" not in line)
+    sort = next(i for i, line in enumerate(plan) if "Sort [" in line)
+    assert sort < exchange and "_length" in plan[sort] and "prompt" not in plan[sort]
+    cheap = ColumnScorer(("prompt",), F.length)
+    assert run_stage(rows, cheap, "score", asked, prepare).columns == ["id", "text", "score"]
+
+
 def test_a_worker_loads_a_model_once_and_batches_hold_one_budget(spark, tmp_path):
     import os
 
