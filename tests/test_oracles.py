@@ -25,10 +25,11 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(ORACLES) == set(QUERIES)
+    # Approximate hits have no SQL; test_approximate measures their recall.
+    assert set(QUERIES) - set(ORACLES) == {"topk_lsh"} and set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
     result = check.compare(spark, duck, SF, name, QUERIES[name], ORACLES[name])
     assert result.startswith("ok"), result
