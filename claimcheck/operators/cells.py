@@ -11,16 +11,15 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimcheck.operators import retrieval
-from claimcheck.operators.retrieval import SCORE_DIGITS, BlockLimits
+from claimcheck.operators.retrieval import BlockLimits
 from claimcheck.session import exists, materialize
 
 #: Passages of a cell on average, and pivots of a source at most; they are held by every task.
@@ -87,7 +86,7 @@ class CellIndex:
             picked = picked.join(wanted, "source").where("cell < n").drop("n")
         picked.write.mode("overwrite").parquet(self._path("pivots", batch))
         pivots = known | self._pivots([batch])
-        assigned = _assigned(rows, "embedding", pivots)
+        assigned = retrieval.assigned(rows, "embedding", pivots)
         # Few files for each cell; a cell that very many vectors fall in is split, not one task's.
         spread = assigned.hint("rebalance", *[F.col(c) for c in _CELL])
         spread.write.mode("overwrite").partitionBy(*_CELL).parquet(self._path("rows", batch))
@@ -131,78 +130,29 @@ class CellIndex:
         facts = facts.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
         cells = {(r["source"], r["cell"]): (r["n"], r["low"], r["high"]) for r in facts}
         self.there, seen = len(cells), set()
-        q = materialize(_assigned(q, "qvec", pivots).drop("angle"), "own-cells")
+        q = materialize(retrieval.assigned(q, "qvec", pivots).drop("angle"), "own-cells")
+        most = self.limits.task_rows(next(iter(pivots.values())).shape[1])
+        cores = self.spark.sparkContext.defaultParallelism
+        keys = retrieval._key_columns("_pk", [F.col(b) for _, b in exclude])
 
-        def found(sent: DataFrame) -> DataFrame | None:
-            asked = {(r["source"], r["cell"]): r["count"] for r in sent.groupBy(*_CELL).count().collect()}
-            asked = {x: n for x, n in asked.items() if x in cells}
-            if not asked:
-                return None
+        def passages(asked: dict[tuple[str, int], int]) -> DataFrame:
             seen.update(asked)
-            p = self.rows(list(asked)).select(
-                *_CELL, "passage_id", "embedding", *retrieval._key_columns("_pk", [F.col(b) for _, b in exclude])
-            )
-            dim = next(iter(pivots.values())).shape[1]
-            cores = self.spark.sparkContext.defaultParallelism
-            sizes = {x: (cells[x][0], n) for x, n in asked.items()}
-            plan = retrieval._splits(sizes, self.limits.rows(dim), self.limits.least_rows, cores)
-            table = self.spark.createDataFrame([(*x, *n) for x, n in plan.items()], "source string, cell int, n_sub int, n_chunk int")
-            return retrieval._search(*_blocks(sent, p, table), k, threshold, len(exclude))
-
-        near = found(q)
-        near = retrieval._no_hits(q) if near is None else materialize(retrieval._best(near, k), "near-hits")
-        bounds = near.groupBy("qid", "source").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-        floor = F.greatest(F.lit(-1.0 if threshold is None else float(threshold)), "kth")
-        bounded = q.join(bounds, ["qid", "source"], "left").withColumn("kth", floor)
-        far = materialize(bounded.mapInPandas(_router(pivots, cells), bounded.schema).drop("kth"), "routes")
-        more = found(far)
+            return self.rows(list(asked)).select(*_CELL, "passage_id", "embedding", *keys)
+
+        asked = {(r["source"], r["cell"]): r["count"] for r in q.groupBy(*_CELL).count().collect()}
+        sizes = {x: (cells[x][0], n) for x, n in asked.items() if x in cells}
+        near = retrieval._no_hits(q)
+        if sizes:
+            plan = retrieval._splits(sizes, most, self.limits.least_rows, cores)
+            found = retrieval.search_own(q, passages(sizes), plan, k, threshold, len(exclude))
+            near = materialize(retrieval._best(found, k), "near-hits")
+        bounded = materialize(retrieval.bounds(q, near, k, threshold), "bounded")
+        asked = retrieval.needed_cells(bounded, pivots, cells)
+        p = passages(asked) if asked else None
         self.read = len(seen)
-        return near if more is None else retrieval._best(near.unionByName(more), k)
-
-
-def _assigned(rows: DataFrame, vector: str, pivots: dict[str, np.ndarray]) -> DataFrame:
-    """``cell`` of the nearest pivot and the ``angle`` to it, for rows of sources that have pivots."""
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source, part in batch.groupby("source", sort=False):
-                angles = retrieval._angles(retrieval._matrix(part[vector]), pivots[source])
-                cell = angles.argmin(axis=1)
-                yield part.assign(cell=cell.astype(np.int32), angle=angles[np.arange(len(part)), cell])
-
-    extra = [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
-    return rows.mapInPandas(assign, T.StructType([*rows.schema.fields, *extra]))
-
-
-def _router(pivots: dict[str, np.ndarray], cells: dict[tuple[str, int], tuple]):
-    """Each query once for every other cell that may hold a passage as good as its bound ``kth``."""
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source, part in batch.groupby("source", sort=False):
-                angles = retrieval._angles(retrieval._matrix(part["qvec"]), pivots[source])
-                low, high = np.full(angles.shape[1], np.inf), np.full(angles.shape[1], -np.inf)
-                for (name, cell), (_, lo, hi) in cells.items():
-                    if name == source:
-                        low[cell], high[cell] = lo, hi
-                least = part["kth"].to_numpy(np.float64) - 10.0**-SCORE_DIGITS
-                reach = np.arccos(np.clip(least, -1.0, 1.0))[:, None] + 1e-9
-                within = (angles - reach <= high) & (angles + reach >= low)
-                within[np.arange(len(part)), part["cell"].to_numpy(np.int64)] = False
-                row, cell = np.nonzero(within)
-                yield part.iloc[row].assign(cell=cell.astype(np.int32))
-
-    return route
-
-
-def _blocks(q: DataFrame, p: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every (passage block, query chunk) pair of a cell as a group of its own.
-
-    ``plan`` has a row for each cell that is read, at most as many as there are pivots.
-    """
-    plan = F.broadcast(plan)
-    q = q.join(plan, _CELL).withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("n_chunk")).cast("int"))
-    p = p.join(plan, _CELL).withColumn("sub", F.pmod(F.xxhash64("passage_id"), F.col("n_sub")).cast("int"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    drop = ("n_sub", "n_chunk")
-    return q.withColumn("sub", every("n_sub")).drop(*drop), p.withColumn("chunk", every("n_chunk")).drop(*drop)
+        if p is None:
+            return near
+        more = retrieval.search_needed(
+            bounded, p, pivots, cells, asked, k, threshold, len(exclude), most, self.limits.least_rows, cores
+        )
+        return retrieval._best(near.unionByName(more), k)

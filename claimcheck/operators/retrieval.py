@@ -2,24 +2,27 @@
 
 A search compares every query with every passage of its source, so the work is split
 into blocks that fit one task: passages into ``sub`` blocks, queries into ``chunk``s, both
-by hash.  No source, however large, ends up in one group.  A task multiplies two matrices
-and emits at most k rows per query; a window merges the blocks.
+by hash.  No source, however large, ends up in one group.  A task holds the passages of its
+block, lets the queries pass by in slices and emits at most k rows per query; a window merges
+the blocks.
 
 Sources of more than one block are cut by pivots first.  A passage belongs to the cell of its
 nearest pivot, and a query is compared with its own cell.  By the triangle inequality on angles
 it then needs only cells whose angle range comes within acos(t) of its own angle to the pivot,
 where t is its k-th score so far, or the threshold.  That prunes whole cells and loses no hit.
+Neighbouring numbers of cells share a bin, a task's worth of them: a query goes once to each bin,
+with a bit for every cell of it that it needs, however many cells there are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,33 +33,50 @@ from claimcheck.session import materialize
 
 SCORE_DIGITS = 6
 HIT_COLUMNS = ("qid", "source", "passage_id", "score", "rank")
+#: Scores or angles that a task computes at once, and queries that it looks at or sends at once.
+SLAB, SLICE = 1 << 20, 2048
 
 
 @dataclass(frozen=True)
 class BlockLimits:
-    """How much one search task may hold."""
+    """How finely a search is cut, and how much one of its tasks may hold."""
 
+    #: A source of more passages than this is cut by pivots, about one for so many.
     block_bytes: int = 64 << 20
     least_rows: int = 1024
     max_pivots: int = 256
     pivot_from_blocks: int = 2
+    #: Passages that a task holds; each further block of a source costs a copy of its queries.
+    task_bytes: int = 64 << 20
 
     def rows(self, dim: int) -> int:
         return max(64, self.block_bytes // (8 * max(dim, 1)))
 
+    def task_rows(self, dim: int) -> int:
+        return max(64, self.task_bytes // (8 * max(dim, 1)))
+
 
 # --- kernel -----------------------------------------------------------------------------
 
 
-def _matrix(rows: Sequence[np.ndarray]) -> np.ndarray:
-    return np.vstack([np.asarray(r, dtype=np.float64) for r in rows])
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows in double precision; a null component is NaN."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if column.null_count or (sizes != sizes[0]).any():
+        raise ValueError("vectors of a source must be there and have one length")
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), int(sizes[0]))
 
 
 def _cosine(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Cosine in double precision, rounded half up; zero vectors score 0."""
+    """Cosine in double precision; zero vectors score 0."""
     norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((p * p).sum(axis=1))[None, :]
     raw = q @ p.T
-    scores = np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)
+    return np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Rounded half up."""
     unit = 10.0**SCORE_DIGITS
     return np.sign(scores) * np.floor(np.abs(scores) * unit + 0.5) / unit
 
@@ -79,25 +99,36 @@ def block_topk(
     threshold: float | None,
     q_keys: Sequence[np.ndarray] = (),
     p_keys: Sequence[np.ndarray] = (),
+    floor: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Best k passages per query row: (query row, passage id, score, rank).
 
     Order is score descending, then passage id ascending; ties at the k-th score are all
-    looked at before cutting.
+    looked at before cutting.  Scores below a row's ``floor`` are left out.
     """
-    floor = -2.0 if threshold is None else threshold
-    slab = max(1, 4_000_000 // max(len(p), 1))
+    least_of = np.full(len(q), -2.0 if threshold is None else threshold)
+    least_of = least_of if floor is None else np.maximum(least_of, floor)
+    margin = 10.0**-SCORE_DIGITS  # rounding moves a score by less
+    slab = max(1, SLAB // max(len(p), 1))
     parts: list[tuple[np.ndarray, ...]] = []
     for start in range(0, len(q), slab):
         scores = _cosine(q[start : start + slab], p)
+        least = least_of[start : start + slab]
+        near = scores >= (least - margin)[:, None]
+        many = np.flatnonzero(near.sum(axis=1) > 4 * k) if len(p) > k else []
+        if len(many):
+            some = np.where(near[many], scores[many], -np.inf)
+            for qk, pk in zip(q_keys, p_keys, strict=True):
+                _blank_equal_keys(some, qk[start : start + slab][many], pk)
+            kth = np.partition(some, len(p) - k, axis=1)[:, len(p) - k]
+            near[many] = some >= (np.maximum(least[many], kth) - margin)[:, None]
+        rows, cols = np.nonzero(near)
         for qk, pk in zip(q_keys, p_keys, strict=True):
-            _blank_equal_keys(scores, qk[start : start + slab], pk)
-        least = np.full(len(scores), floor)
-        if len(p) > k:
-            kth = np.partition(scores, len(p) - k, axis=1)[:, len(p) - k]
-            least = np.maximum(least, kth)
-        rows, cols = np.nonzero(scores >= least[:, None])
-        found = scores[rows, cols]
+            differs = (qk[rows + start] != pk[cols]).any(axis=1)
+            rows, cols = rows[differs], cols[differs]
+        found = _rounded(scores[rows, cols])
+        keep = found >= least[rows]
+        rows, cols, found = rows[keep], cols[keep], found[keep]
         order = np.lexsort((p_ids[cols], -found, rows))
         rows, cols, found = rows[order], cols[order], found[order]
         first = np.searchsorted(rows, rows, side="left")
@@ -122,22 +153,11 @@ def _key_columns(prefix: str, keys: Sequence[Column]) -> list[Column]:
     return out
 
 
-def _keys_of(frame: pd.DataFrame, prefix: str, n: int) -> list[np.ndarray]:
-    return [frame[[f"{prefix}{i}_a", f"{prefix}{i}_b"]].to_numpy(np.int64) for i in range(n)]
-
-
 def _per_source(values: dict[str, int]) -> Column:
     entries = [F.lit(x) for pair in values.items() for x in pair]
     return F.try_element_at(F.create_map(*entries), F.col("source"))
 
 
-def _per_cell(values: dict[tuple[str, int], int]) -> Column:
-    """The value of a row's source and cell; NULL for cells that have none."""
-    entries = [F.lit(x) for (s, c), n in values.items() for x in (f"{c}:{s}", n)]
-    key = F.concat_ws(":", F.col("cell").cast("string"), "source")
-    return F.try_element_at(F.create_map(*entries), key)
-
-
 def _blocks(rows: int, limit: int) -> int:
     return max(1, math.ceil(rows / limit))
 
@@ -200,7 +220,7 @@ def topk_join(
     n_index = {r["source"]: r["n"] for r in counted if r["side"] == "index"}
     n_query = {r["source"]: r["n"] for r in counted if r["side"] == "query"}
     both = [s for s in sources if s in n_index and s in n_query]
-    limit = limits.rows(dim)
+    limit, most = limits.rows(dim), limits.task_rows(dim)
 
     q = queries.select(
         "qid", "source", "qvec", *_key_columns("_qk", [F.col(a) for a, _ in exclude])
@@ -217,12 +237,12 @@ def topk_join(
         # One cell for each source, so every query is in the cell it needs.
         q, p = q.withColumn("cell", F.lit(0)), p.withColumn("cell", F.lit(0))
         sizes = {s: (n_index[s], n_query[s]) for s in both}
-        plan = _splits({(s, 0): n for s, n in sizes.items()}, limit, limits.least_rows, cores)
-        hits = _search(*_hash_blocks(q, p, plan), k, threshold, len(exclude))
+        plan = _splits({(s, 0): n for s, n in sizes.items()}, most, limits.least_rows, cores)
+        hits = search_own(q, p, plan, k, threshold, len(exclude))
         if max(sub for sub, _ in plan.values()) == 1:
             return hits
     else:
-        hits = _cell_search(q, p, subs, k, threshold, len(exclude), limit, limits, cores)
+        hits = _cell_search(q, p, subs, k, threshold, len(exclude), most, limits, cores)
     return _best(hits, k)
 
 
@@ -253,51 +273,135 @@ def _no_hits(q: DataFrame) -> DataFrame:
     return q.sparkSession.createDataFrame([], _hit_schema(q))
 
 
-def _hash_blocks(
-    q: DataFrame, p: DataFrame, plan: dict[tuple[str, int], tuple[int, int]]
-) -> tuple[DataFrame, DataFrame]:
-    """Put every (passage block, query chunk) pair of a cell into a group of its own.
+# --- one task -----------------------------------------------------------------------------------
+
+_CELL = ["source", "cell"]
+_TASK = ["source", "cell", "sub", "chunk"]
 
-    Rows of cells that are not in the plan are not sent at all.
-    """
-    n_sub = _per_cell({key: sub for key, (sub, _) in plan.items()})
-    n_chunk = _per_cell({key: chunk for key, (_, chunk) in plan.items()})
-    q = q.withColumn("chunk", F.pmod(F.xxhash64("qid"), n_chunk).cast("int")).withColumn(
-        "sub", F.explode(F.sequence(F.lit(0), n_sub - 1))
-    )
-    p = p.withColumn("sub", F.pmod(F.xxhash64("passage_id"), n_sub).cast("int")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), n_chunk - 1))
-    )
-    return q, p
 
+def _spread(rows: DataFrame, own: str, ident: str, every: str) -> DataFrame:
+    """Each row to the block that the hash of its id names, and to all blocks of the other side."""
+    n_own, n_every = F.col(f"n_{own}"), F.col(f"n_{every}")
+    rows = rows.withColumn(own, F.pmod(F.xxhash64(ident), n_own).cast("int"))
+    return rows.withColumn(every, F.explode(F.sequence(F.lit(0), n_every - 1))).drop("n_sub", "n_chunk")
 
-def _search(
-    q: DataFrame, p: DataFrame, k: int, threshold: float | None, n_keys: int
+
+def _plan_table(spark: SparkSession, plan: dict[tuple[str, int], tuple[int, int]]) -> DataFrame:
+    """A row for each cell or bin: there are no more of them than pivots, or blocks of passages."""
+    rows = [(*cell, *n) for cell, n in plan.items()]
+    return F.broadcast(spark.createDataFrame(rows, "source string, cell int, n_sub int, n_chunk int"))
+
+
+def search_own(
+    q: DataFrame, p: DataFrame, plan: dict[tuple[str, int], tuple[int, int]], k: int, threshold: float | None, n_keys: int
 ) -> DataFrame:
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({name: [] for name in HIT_COLUMNS})
-        rows, ids, scores, rank = block_topk(
-            _matrix(left["qvec"]),
-            _matrix(right["embedding"]),
-            right["passage_id"].to_numpy(np.int64),
-            k,
-            threshold,
-            _keys_of(left, "_qk", n_keys),
-            _keys_of(right, "_pk", n_keys),
-        )
-        return pd.DataFrame(
-            {
-                "qid": left["qid"].to_numpy()[rows],
-                "source": left["source"].iloc[0],
-                "passage_id": ids,
-                "score": scores,
-                "rank": rank.astype(np.int32),
-            }
+    """Every query against the passages of its ``source`` and ``cell``; other cells are not sent."""
+    table = _plan_table(q.sparkSession, plan)
+    q = q.join(table, _CELL).withColumns({"wanted": F.lit(None).cast("binary"), "kth": F.lit(None).cast("double")})
+    q = _spread(q, "chunk", "qid", "sub")
+    p = _spread(p.join(table, _CELL).withColumn("part", F.lit(0)), "sub", "passage_id", "chunk")
+    return _search(q, p, k, threshold, n_keys)
+
+
+def _held(rows: pa.RecordBatch, n_keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    ids = rows.column("passage_id").fill_null(np.iinfo(np.int64).min).to_numpy()
+    return matrix(rows.column("vector")), ids, rows.column("part").to_numpy(), _keys_of(rows, n_keys)
+
+
+def _keys_of(rows: pa.RecordBatch, n: int) -> list[np.ndarray]:
+    return [np.stack([rows.column(f"_k{i}_{x}").to_numpy() for x in "ab"], axis=1) for i in range(n)]
+
+
+def _first(found: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[np.ndarray, ...]]:
+    """The best k of each query row, in order, of hits that several parts gave."""
+    rows, ids, scores, _ = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
+    keep = rank <= k
+    return [(rows[keep], ids[keep], scores[keep], rank[keep])]
+
+
+def _answers(rows: pa.RecordBatch, block: tuple, k: int, threshold: float | None, n_keys: int) -> tuple[np.ndarray, ...]:
+    """Hits of a slice of queries in the passages that a task holds, part by part as each wants."""
+    p, ids, part, p_keys = block
+    q, q_keys = matrix(rows.column("vector")), _keys_of(rows, n_keys)
+    wanted = rows.column("wanted")
+    if wanted.null_count:
+        return block_topk(q, p, ids, k, threshold, q_keys, p_keys)
+    bits = np.frombuffer(b"".join(wanted.to_pylist()), dtype=np.uint8).reshape(len(q), -1)
+    want = np.unpackbits(bits, axis=1).astype(bool)
+    floor = rows.column("kth").to_numpy()
+    begins = np.flatnonzero(np.diff(part, prepend=-1))
+    found, held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))], 0
+    for a, b in zip(begins, [*begins[1:], len(part)], strict=True):
+        asks = np.flatnonzero(want[:, part[a]])
+        if not len(asks):
+            continue
+        row, hit, score, rank = block_topk(
+            q[asks], p[a:b], ids[a:b], k, threshold, [x[asks] for x in q_keys], [x[a:b] for x in p_keys], floor[asks]
         )
+        found.append((asks[row], hit, score, rank))
+        held += len(row)
+        if held > SLAB // 4:
+            found, held = _first(found, k), 0
+    return _first(found, k)[0]
+
 
-    key = ["source", "cell", "sub", "chunk"]
-    return q.groupBy(*key).cogroup(p.groupBy(*key)).applyInPandas(search, _hit_schema(q))
+def _search(q: DataFrame, p: DataFrame, k: int, threshold: float | None, n_keys: int) -> DataFrame:
+    """Hits of each task, a group of ``source, cell, sub, chunk``.
+
+    Its passages come first and are held, its queries pass by in slices: what a task holds does
+    not grow with the number of queries.
+    """
+    schema, names = _hit_schema(q), [f"_k{i}_{x}" for i in range(n_keys) for x in "ab"]
+    kinds = {q.schema["qvec"].dataType, p.schema["embedding"].dataType}
+    kind = "array<float>" if kinds == {T.ArrayType(T.FloatType())} else "array<double>"
+    none = lambda t: F.lit(None).cast(t)
+    passages = p.select(
+        *_TASK, F.lit(False).alias("asks"), F.col("part").cast("int").alias("part"), none("binary").alias("wanted"), none("double").alias("kth"),
+        none(schema["qid"].dataType).alias("qid"), F.col("passage_id").cast("long").alias("passage_id"),
+        F.col("embedding").cast(kind).alias("vector"), *[F.col(x.replace("_k", "_pk")).alias(x) for x in names],
+    )
+    queries = q.select(
+        *_TASK, F.lit(True).alias("asks"), none("int").alias("part"), "wanted", "kth", "qid", none("long").alias("passage_id"),
+        F.col("qvec").cast(kind).alias("vector"), *[F.col(x.replace("_k", "_qk")).alias(x) for x in names],
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, pieces, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            source = batch.column("source").dictionary_encode()
+            marks = [source.indices, *(batch.column(x) for x in (*_TASK[1:], "asks"))]
+            marks = np.stack([x.to_numpy(zero_copy_only=False).astype(np.int64) for x in marks])
+            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                name = source[int(a)].as_py()
+                now = (name, *marks[1:4, a])
+                if now != task:
+                    task, pieces, block = now, [], None
+                if not marks[4, a]:
+                    pieces.append(_held(batch.slice(a, b - a), n_keys))
+                    continue
+                if block is None:
+                    if not pieces:
+                        continue
+                    p, ids, part, keys = zip(*pieces, strict=True)
+                    keys = [np.concatenate(x) for x in zip(*keys, strict=True)]
+                    block, pieces = (np.concatenate(p), np.concatenate(ids), np.concatenate(part), keys), []
+                for at in range(a, b, SLICE):
+                    part = batch.slice(at, min(SLICE, b - at))
+                    rows, ids, scores, rank = _answers(part, block, k, threshold, n_keys)
+                    if not len(rows):
+                        continue
+                    columns = [part.column("qid").take(pa.array(rows)), pa.array([name] * len(rows), pa.string())]
+                    columns += [pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(rank.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, list(HIT_COLUMNS))
+
+    dealt = passages.union(queries).repartition(*_TASK).sortWithinPartitions(*_TASK, "asks", "part")
+    return dealt.mapInArrow(search, schema)
 
 
 # --- pivots -----------------------------------------------------------------------------------
@@ -310,6 +414,147 @@ def _angles(vectors_: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0), -1, 1))
 
 
+def _with_angles(
+    batches: Iterator[pa.RecordBatch], vector: str, pivots: dict[str, np.ndarray]
+) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray]]:
+    """Rows of one source in slices, and their angles to its pivots: at most ``SLAB`` at once."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sources = batch.column("source").dictionary_encode()
+        codes = sources.indices.to_numpy()
+        for code, source in enumerate(sources.dictionary.to_pylist()):
+            own = np.flatnonzero(codes == code)
+            step = max(1, min(SLICE, SLAB // len(pivots[source])))
+            for at in range(0, len(own), step):
+                part = batch.take(pa.array(own[at : at + step]))
+                yield source, part, _angles(matrix(part.column(vector)), pivots[source])
+
+
+def assigned(rows: DataFrame, vector: str, pivots: dict[str, np.ndarray]) -> DataFrame:
+    """``cell`` of the nearest pivot and the ``angle`` to it, for rows of sources that have pivots."""
+    names = [*rows.columns, "cell", "angle"]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part, angles in _with_angles(batches, vector, pivots):
+            cell = angles.argmin(axis=1)
+            extra = [pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])]
+            yield pa.RecordBatch.from_arrays([*part.columns, *extra], names)
+
+    extra = [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
+    return rows.mapInArrow(assign, T.StructType([*rows.schema.fields, *extra]))
+
+
+def _needs(
+    pivots: dict[str, np.ndarray], cells: dict[tuple[str, int], tuple]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, pa.RecordBatch, np.ndarray]]]:
+    """Queries in slices, with a mark for every other cell that may hold a passage as good as ``kth``."""
+    ranges = {s: (np.full(len(x), np.inf), np.full(len(x), -np.inf)) for s, x in pivots.items()}
+    for (source, cell), (_, low, high) in cells.items():
+        ranges[source][0][cell], ranges[source][1][cell] = low, high
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray]]:
+        for source, part, angles in _with_angles(batches, "qvec", pivots):
+            low, high = ranges[source]
+            least = part.column("kth").to_numpy(zero_copy_only=False) - 10.0**-SCORE_DIGITS
+            reach = np.arccos(np.clip(least, -1.0, 1.0))[:, None] + 1e-9
+            within = (angles - reach <= high) & (angles + reach >= low)
+            within[np.arange(len(within)), part.column("cell").to_numpy()] = False
+            yield source, part, within
+
+    return need
+
+
+def needed_cells(
+    bounded: DataFrame, pivots: dict[str, np.ndarray], cells: dict[tuple[str, int], tuple]
+) -> dict[tuple[str, int], int]:
+    """How many queries need each cell besides their own."""
+    need = _needs(pivots, cells)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for source, _, within in need(batches):
+            total[source] = total.get(source, 0) + within.sum(axis=0)
+        for source, n in total.items():
+            cell = np.flatnonzero(n)
+            columns = [pa.array([source] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(n[cell])]
+            yield pa.RecordBatch.from_arrays(columns, [*_CELL, "n"])
+
+    counted = bounded.select("source", "qvec", "cell", "kth").mapInArrow(count, "source string, cell int, n long")
+    return {(r["source"], r["cell"]): r["n"] for r in counted.groupBy(*_CELL).agg(F.sum("n").alias("n")).collect()}
+
+
+def search_needed(
+    bounded: DataFrame,
+    p: DataFrame,
+    pivots: dict[str, np.ndarray],
+    cells: dict[tuple[str, int], tuple],
+    asked: dict[tuple[str, int], int],
+    k: int,
+    threshold: float | None,
+    n_keys: int,
+    most: int,
+    least: int,
+    cores: int,
+) -> DataFrame:
+    """Hits of the queries in the ``asked`` cells that they need besides their own.
+
+    Cells are put into bins of at most ``most`` passages (a larger cell is a bin of its own, and
+    is cut by hash), and into as many as there are cores where ``least`` passages fall in each.
+    """
+    bins: dict[tuple[str, int], list[int]] = {}
+    rows_in = {s: sum(cells[x][0] for x in asked if x[0] == s) for s in pivots}
+    work = sum(rows_in.values())
+    for source, n in rows_in.items():
+        wide = min(most, max(least, math.ceil(work / cores)))
+        number, filled = -1, wide
+        for _, cell in sorted(x for x in asked if x[0] == source):
+            size = cells[source, cell][0]
+            if filled + size > wide:
+                number, filled = number + 1, 0
+            bins.setdefault((source, number), []).append(cell)
+            filled += size
+    sizes = {
+        (s, b): (sum(cells[s, c][0] for c in own), max(asked[s, c] for c in own)) for (s, b), own in bins.items()
+    }
+    plan = _splits(sizes, most, least, cores)
+    spark = p.sparkSession
+    places = [(s, c, b, i) for (s, b), own in bins.items() for i, c in enumerate(own)]
+    places = spark.createDataFrame(places, "source string, cell int, bin int, part int")
+    p = p.join(F.broadcast(places), _CELL).drop("cell").withColumnRenamed("bin", "cell")
+    need = _needs(pivots, cells)
+    by_source: dict[str, list[tuple[int, list[int]]]] = {}
+    for (source, number), own in bins.items():
+        by_source.setdefault(source, []).append((number, own))
+    names = [*bounded.drop("cell").columns, "cell", "wanted"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for source, part, within in need(batches):
+            for number, own in by_source.get(source, ()):
+                want = within[:, own]
+                rows = np.flatnonzero(want.any(axis=1))
+                if len(rows):
+                    bits = [x.tobytes() for x in np.packbits(want[rows], axis=1)]
+                    sent = part.take(pa.array(rows))
+                    columns = [sent.column(x) for x in names[:-2]]
+                    columns += [pa.array(np.full(len(rows), number, np.int32)), pa.array(bits, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    kept = [f for f in bounded.schema.fields if f.name in names[:-2]]
+    extra = [T.StructField("cell", T.IntegerType()), T.StructField("wanted", T.BinaryType())]
+    sent = bounded.mapInArrow(send, T.StructType([*kept, *extra]))
+    table = _plan_table(spark, plan)
+    q = _spread(sent.join(table, _CELL), "chunk", "qid", "sub")
+    return _search(q, _spread(p.join(table, _CELL), "sub", "passage_id", "chunk"), k, threshold, n_keys)
+
+
+def bounds(q: DataFrame, near: DataFrame, k: int, threshold: float | None) -> DataFrame:
+    """Queries with ``kth``, what another cell must offer: the k-th score so far, or the threshold."""
+    scores = near.groupBy("qid", "source").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    floor = F.greatest(F.lit(-1.0 if threshold is None else float(threshold)), "kth")
+    return q.join(scores, ["qid", "source"], "left").withColumn("kth", floor)
+
+
 def _cell_search(
     q: DataFrame,
     p: DataFrame,
@@ -317,7 +562,7 @@ def _cell_search(
     k: int,
     threshold: float | None,
     n_keys: int,
-    limit: int,
+    most: int,
     limits: BlockLimits,
     cores: int,
 ) -> DataFrame:
@@ -339,23 +584,9 @@ def _cell_search(
         s: np.array([r["embedding"] for r in rows if r["source"] == s], dtype=np.float64)
         for s in wanted
     }
-
-    def assigned(df: DataFrame, vector: str) -> DataFrame:
-        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for source, part in batch.groupby("source", sort=False):
-                    angles = _angles(_matrix(part[vector]), pivots[source])
-                    cell = angles.argmin(axis=1)
-                    yield part.assign(
-                        cell=cell.astype(np.int32), angle=angles[np.arange(len(part)), cell]
-                    )
-
-        extra = [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
-        return df.mapInPandas(assign, T.StructType([*df.schema.fields, *extra]))
-
     # Stored, since each is read by the counts and by both searches.
-    p = materialize(assigned(p, "embedding"), "cells")
-    q = materialize(assigned(q, "qvec").drop("angle"), "own-cells")
+    p = materialize(assigned(p, "embedding", pivots), "cells")
+    q = materialize(assigned(q, "qvec", pivots).drop("angle"), "own-cells")
     # A zero vector has no direction and scores 0 everywhere, so its angle of 90 degrees is
     # as good as any: a bound above 0 rules it out and one up to 0 reaches 90 degrees.
     cells = {
@@ -365,46 +596,18 @@ def _cell_search(
         .collect()
     }
     p = p.drop("angle")
-
-    def search(sent: DataFrame) -> DataFrame | None:
-        asked = {(r["source"], r["cell"]): r["count"] for r in sent.groupBy("source", "cell").count().collect()}
-        sizes = {key: (cells[key][0], n) for key, n in asked.items() if key in cells}
-        if not sizes:
-            return None
-        plan = _splits(sizes, limit, limits.least_rows, cores)
-        known = _per_cell({key: 1 for key in plan}).isNotNull()
-        return _search(
-            *_hash_blocks(sent.where(known), p.where(known), plan), k, threshold, n_keys
-        )
-
-    near = search(q)
-    near = _no_hits(q) if near is None else materialize(_best(near, k), "near-hits")
-    bounds = near.groupBy("qid", "source").agg(
-        F.when(F.count("*") >= k, F.min("score")).alias("kth")
-    )
-    floor = F.greatest(F.lit(-1.0 if threshold is None else float(threshold)), "kth")
-    bounded = materialize(
-        q.join(bounds, ["qid", "source"], "left").withColumn("kth", floor), "bounded"
-    )
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source, part in batch.groupby("source", sort=False):
-                angles = _angles(_matrix(part["qvec"]), pivots[source])
-                low = np.full(angles.shape[1], np.inf)
-                high = np.full(angles.shape[1], -np.inf)
-                for (name, cell), (_, lo, hi) in cells.items():
-                    if name == source:
-                        low[cell], high[cell] = lo, hi
-                least = part["kth"].to_numpy(np.float64) - 10.0**-SCORE_DIGITS
-                reach = np.arccos(np.clip(least, -1.0, 1.0))[:, None] + 1e-9
-                within = (angles - reach <= high) & (angles + reach >= low)
-                within[np.arange(len(part)), part["cell"].to_numpy(np.int64)] = False
-                row, cell = np.nonzero(within)
-                yield part.iloc[row].assign(cell=cell.astype(np.int32))
-
-    far = search(bounded.mapInPandas(route, bounded.schema).drop("kth"))
-    return near if far is None else near.unionByName(far)
+    asked = {(r["source"], r["cell"]): r["count"] for r in q.groupBy(*_CELL).count().collect()}
+    sizes = {key: (cells[key][0], n) for key, n in asked.items() if key in cells}
+    near = _no_hits(q)
+    if sizes:
+        plan = _splits(sizes, most, limits.least_rows, cores)
+        near = materialize(_best(search_own(q, p, plan, k, threshold, n_keys), k), "near-hits")
+    bounded = materialize(bounds(q, near, k, threshold), "bounded")
+    asked = needed_cells(bounded, pivots, cells)
+    if not asked:
+        return near
+    found = search_needed(bounded, p, pivots, cells, asked, k, threshold, n_keys, most, limits.least_rows, cores)
+    return near.unionByName(found)
 
 
 # --- single query, index tables, evidence ---------------------------------------------------

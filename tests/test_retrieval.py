@@ -1,5 +1,8 @@
+import inspect
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +88,43 @@ def test_every_plan_is_exact(spark, clustered, limits, threshold):
     assert got(hits) == brute_force(q, p, 5, threshold)
 
 
+@pytest.mark.parametrize("task_bytes", [64 * 8 * 8, 200 * 8 * 8])
+def test_bins_and_tasks_are_exact(spark, clustered, task_bytes):
+    q, p = clustered
+    qdf, pdf = frames(spark, q, p)
+    limits = BlockLimits(block_bytes=64 * 8 * 8, pivot_from_blocks=1, task_bytes=task_bytes, least_rows=8)
+    hits = topk_join(qdf, pdf, sources=["big", "small"], k=5, threshold=0.55, limits=limits)
+    assert got(hits) == brute_force(q, p, 5, 0.55)
+
+
+def test_queries_go_once_to_the_cells_of_a_bin(spark, clustered, monkeypatch):
+    qdf, pdf = frames(spark, *clustered)
+    sent, search = [], retrieval._search
+
+    def watched(q, *rest):
+        sent.append(q.count())
+        return search(q, *rest)
+
+    monkeypatch.setattr(retrieval, "_search", watched)
+    limits = BlockLimits(block_bytes=64 * 8 * 8, pivot_from_blocks=1)
+    topk_join(qdf, pdf, sources=["big", "small"], k=5, threshold=None, limits=limits)
+    # All cells are in reach; each of the 81 queries goes to its own and to the bin of the others.
+    assert len(sent) == 2 and max(sent) <= 81
+
+
+def test_slices_bound_what_a_task_computes_at_once():
+    rows = pa.record_batch({"source": ["a"] * 9000, "v": [[1.0, 2.0]] * 9000})
+    seen = [x.shape for _, _, x in retrieval._with_angles([rows], "v", {"a": np.ones((4096, 2))})]
+    assert sum(n for n, _ in seen) == 9000 and max(n * m for n, m in seen) <= retrieval.SLAB
+
+
+def test_encoder_remembers_a_bounded_number_of_words():
+    encode = vectors.HashingEncoder(dim=8).load()
+    encode(pd.Series([" ".join(f"w{i}" for i in range(vectors.KNOWN_WORDS + 9000))]))
+    bucket = inspect.getclosurevars(encode).nonlocals["bucket"]
+    assert len(inspect.getclosurevars(bucket).nonlocals["bucket_of"]) == vectors.KNOWN_WORDS
+
+
 def test_without_threshold_and_with_exclusion(spark, clustered):
     q, p = clustered
     qdf, pdf = frames(spark, q, p)
