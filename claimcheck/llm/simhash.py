@@ -164,13 +164,27 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLO
     return prints.join(named, "bits").select("doc_id", hexed, "component_id")
 
 
-def deduplicated(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` of what the links of both searches connect.
+
+    Rows without a doc_id have their say inside each search, they do not carry one into the other.
+    """
+    both = found.select("doc_id", "component_id").union(more.select("doc_id", "component_id"))
+    both = stored(both.where("doc_id IS NOT NULL").distinct(), "classes")
+    roots = components(both)
+    ids = both.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return ids.select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, all columns kept.
 
-    ``found`` has ``doc_id, component_id`` of another search.  Of rows that repeat that doc_id
-    one stays.  Rows without a doc_id cannot be named as copies of each other and stay.
+    ``more`` has ``doc_id, component_id`` of a further search, whose links count besides those
+    of the fingerprints.  Of rows that repeat that doc_id one stays.  Rows without a doc_id
+    cannot be named as copies of each other and stay.
     """
-    found = near_duplicates(docs) if found is None else found
+    found = near_duplicates(docs)
+    found = found if more is None else _joined(found, more)
     keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
     ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count()

@@ -29,7 +29,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays.
 
-    Near-duplicates share at least 0.8 of the union of their shingles of five words.  Texts without words are copies of each other.  Rows that repeat an id are one document;
+    Near-duplicates have SimHash fingerprints that differ in at most four bits, or share at
+    least 0.8 of the union of their shingles of five words; links of both kinds form the groups.
+    Texts without words are copies of each other.  Rows that repeat an id are one document;
     rows without an id stay.
     """
     ship_package(spark)

@@ -93,3 +93,13 @@ def test_hot_copies_are_one_node(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("same text in every row of it").alias("text"))
     got = simhash.near_duplicates(docs)
     assert got.select("component_id").distinct().collect()[0][0] == 0 and got.count() == 3000
+
+
+def test_links_of_both_searches_count(spark):
+    """One text's fingerprint is near a second's, another search links the second and a third."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join(words[:-1]), "something else altogether, of a few words", "one more of its own kind"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.near_duplicates(docs).where("component_id = 0").count() == 2
+    more = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (3, 3)], "doc_id long, component_id long")
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs, more).collect()) == [0, 3]
