@@ -6,9 +6,21 @@ import pytest
 from claimcheck.llm import mixing, simhash, toxicity
 from claimcheck.llm.common import stored
 
-from .helpers import SF2, nothing, odd
+from .helpers import SF2, groups, nothing, odd
 from .test_jaccard import slow_components
 from .test_packing import check_places, slow_pieces
+from .test_simhash import slow_groups
+
+
+def slow_kept(rows):
+    """The least id of each group that links of both kinds, close fingerprints and shared shingles, form."""
+    at = {doc: i for i, (doc, _) in enumerate(rows)}
+    found = [*slow_components(rows), *((doc, least) for doc, _, least in slow_groups(rows))]
+    root = groups(len(rows), [(at[doc], at[least]) for doc, least in found])
+    least = {}
+    for (doc, _), r in zip(rows, root, strict=True):
+        least[r] = min(doc, least.get(r, doc))
+    return sorted(least.values())
 
 
 def test_stages_against_brute_force(spark):
@@ -27,8 +39,7 @@ def test_stages_against_brute_force(spark):
     clean = labels.where("toxic = 0").join(before, "doc_id").count()
     assert labels.where("toxic = 0").join(after, "doc_id").count() >= 0.98 * clean
     before, after = kept["simhash"]
-    groups = slow_components([(r.doc_id, r.text) for r in before.collect()])
-    assert sorted(r.doc_id for r in after.collect()) == sorted({c for _, c in groups})
+    assert sorted(r.doc_id for r in after.collect()) == slow_kept([(r.doc_id, r.text) for r in before.collect()])
     before, after = kept["mixing"]
     out, own = mixing.mixed(before, labels, mixing.QUALITY, keep=["doc_id"])
     want = Counter({r.doc_id: r[own].copies for r in out.collect()})
