@@ -298,6 +298,7 @@ def fact_rows(sorted_rows: DataFrame, keys: Sequence[str] = buckets.TEXT_KEYS) -
 
     ``line`` is the JSON object with the fact in place of the first text key it has.  That
     text goes before the facts spread, so an object travels with each fact without it.
+    ``_sort_note`` has the ``_sort_*`` columns as JSON, made once for all facts of a line.
     """
     has_facts = (F.col("parsed_bucket") != "skip") & (F.size("facts") > 0)
     facts = F.when(has_facts, F.col("facts")).otherwise(F.array(F.lit(None).cast("string")))
@@ -307,14 +308,19 @@ def fact_rows(sorted_rows: DataFrame, keys: Sequence[str] = buckets.TEXT_KEYS) -
     emptied = F.transform_values(
         "fields", lambda k, v: F.when(~has_facts | (k != present), v)
     )
-    spread = sorted_rows.select(
+    notes = {
+        "_sort_bucket": F.col("parsed_bucket"),
+        "_sort_line": F.col("line_no"),
+        "_sort_model_output": F.col("raw_model_output"),
+    }
+    note = F.to_json(F.struct(*[value.alias(name) for name, value in notes.items()]))
+    spread = sorted_rows.withColumn("_sort_note", note).select(
         F.col("parsed_bucket").alias("bucket"),
         emptied.alias("fields"),
         present.alias("_key"),
         F.posexplode(facts).alias("fact_no", "fact"),
-        F.col("parsed_bucket").alias("_sort_bucket"),
-        F.col("line_no").alias("_sort_line"),
-        F.col("raw_model_output").alias("_sort_model_output"),
+        *[value.alias(name) for name, value in notes.items()],
+        "_sort_note",
     )
     replaced = F.transform_values(
         "fields",

@@ -1417,12 +1417,11 @@ def first_text_keys(spark, sf_dir):
 def bucket_files(spark, sf_dir):
     root = scratch_path(spark, "buckets")
     corpus_files.write_buckets(corpus.fact_rows(_sorted(spark, sf_dir)), root, annotate=True)
-    lines = spark.read.text(root).select("bucket", "value")
-    return lines.groupBy(
-        "bucket", F.get_json_object("value", "$._sort_bucket").alias("noted")
-    ).agg(
-        F.count("*").alias("n_lines"),
-        F.sum(F.get_json_object("value", "$._sort_line").cast("long")).alias("line_sum"),
+    # One look at each line, which holds a whole answer of the model.
+    note = F.from_json("value", "_sort_bucket string, _sort_line long").alias("note")
+    lines = corpus_files.read_buckets(spark, root).select("bucket", note)
+    return lines.groupBy("bucket", F.col("note._sort_bucket").alias("noted")).agg(
+        F.count("*").alias("n_lines"), F.sum("note._sort_line").alias("line_sum")
     )
 
 

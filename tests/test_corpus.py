@@ -187,6 +187,30 @@ def test_sort_job(spark, tmp_path):
     assert sum("_sort_line" in n for n in noted) == 4
 
 
+def test_annotated_lines_do_not_repeat_answers_on_disk(spark, tmp_path):
+    """A line of many facts is written once for each, with the model's whole answer."""
+    facts = [f"fact {n} {n * n * 7919 % 100003}" for n in range(2000)]
+    lines = [(1, json.dumps({"text": "; ".join(facts), "n": 1})), (2, "not json"), (3, "{}")]
+    rows = corpus.read_sort_lines(spark.createDataFrame(lines, "line_no long, value string"))
+    answer = ColumnScorer(
+        ("input_text",),
+        lambda t: F.concat(F.lit("bucket: wiki\nreworded:\n- "), F.replace(t, F.lit("; "), F.lit("\n- "))),
+    )
+    out = corpus.sort_lines(rows, answer)
+    root = str(tmp_path / "out")
+    files.write_buckets(corpus.fact_rows(out), root, annotate=True)
+    back = [json.loads(r["value"]) for r in files.read_buckets(spark, root).where("bucket = 'wiki'").collect()]
+    assert sorted(x["text"] for x in back) == sorted(facts)
+    whole = "bucket: wiki\nreworded:\n- " + "\n- ".join(facts)
+    assert all(x == {"text": x["text"], "n": 1, "_sort_bucket": "wiki", "_sort_line": 1, "_sort_model_output": whole} for x in back)
+    rest = files.read_buckets(spark, root).where("bucket = 'skip'")
+    assert sorted((r["_sort_line"], r["_sort_model_output"]) for r in (json.loads(x["value"]) for x in rest.collect())) == [
+        (2, "invalid_json"), (3, "missing_text"),
+    ]
+    on_disk = sum(f.stat().st_size for f in (tmp_path / "out").rglob("part-*"))
+    assert on_disk < len(facts) * len(whole) / 50
+
+
 def test_sort_resume(spark):
     rows, out = sorted_rows(spark)
     lines = spark.createDataFrame(SORT_LINES, "line_no long, value string")
