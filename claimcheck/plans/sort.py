@@ -30,7 +30,7 @@ def read_buckets(spark: SparkSession, root: str, log_path: str) -> DataFrame:
     nothing, and the next one sorts its lines again.
     """
     finished = spark.read.parquet(log_path).select("run").distinct()
-    return spark.read.text(root).join(finished, "run", "left_semi").select("bucket", "value")
+    return corpus_files.read_buckets(spark, root).join(finished, "run", "left_semi").select("bucket", "value")
 
 
 def sort_files(

@@ -1,5 +1,7 @@
 """The sort job over files, its log, and what a dead run leaves."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from claimcheck.plans import sort
@@ -39,3 +41,19 @@ def test_sort_job_resumes_and_forgets_dead_runs(spark, tmp_path):
     ]
     lines = sort.earlier_log(spark, log).select("line_no").collect()
     assert sorted(r["line_no"] for r in lines) == [1, 1, 3]
+
+
+def test_annotated_runs_are_read_back(spark, tmp_path):
+    path, root, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    (tmp_path / "in").mkdir()
+    facts = [f"number {n} {n * 7919 % 9973}" for n in range(500)]
+    (tmp_path / "in" / "a.jsonl").write_text('{"text": "' + "; ".join(facts) + '"}\nbroken\n')
+    sort.sort_files(spark, path, root, log, ANSWER, annotate=True)
+    rows = [(r["bucket"], json.loads(r["value"])) for r in sort.read_buckets(spark, root, log).collect()]
+    assert sorted(x["text"] for b, x in rows if b == "grammar") == sorted(facts)
+    answer = "bucket: grammar\nreworded:\n- " + "\n- ".join(facts)
+    assert {x["_sort_model_output"] for b, x in rows if b == "grammar"} == {answer}
+    assert [x for b, x in rows if b == "skip"] == [
+        {"text": "broken", "_sort_bucket": "skip", "_sort_line": 2, "_sort_model_output": "invalid_json"}
+    ]
+    assert sum(f.stat().st_size for f in (tmp_path / "out").rglob("part-*")) < len(facts) * len(answer) / 20
