@@ -12,7 +12,6 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -36,6 +35,8 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "+": "t", "|": "li", "€": "e", "¡": "i", "£": "l", "¢": "c",
 }
+#: Characters that are counted at once, and words that a channel remembers.
+SPAN_CHARS, KNOWN_WORDS = 1 << 18, 50_000
 #: Log probability that the channel writes a letter as a look-alike, and that it repeats one.
 DISGUISED, REPEATED = math.log(0.05), math.log(0.02)
 
@@ -63,13 +64,19 @@ def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(_SIZE**3, dtype=np.int64)
     for batch in steps(batches, "text"):
         text = " ".join(x or "" for x in batch.column("text").to_pylist())
-        code = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        symbol = np.where(code < len(_SYMBOLS), _SYMBOLS[np.minimum(code, len(_SYMBOLS) - 1)], _OTHER)
-        # Edges in a row are one edge.
-        symbol = symbol[np.concatenate([[True], (symbol[1:] != _EDGE) | (symbol[:-1] != _EDGE)])]
-        if len(symbol) > 2:
-            gram = (symbol[:-2] * _SIZE + symbol[1:-1]) * _SIZE + symbol[2:]
-            counts += np.bincount(gram, minlength=_SIZE**3)
+        text = f" {text} "
+        # In spans, each after the last two symbols before it, as several numbers stand for a character.
+        last = np.zeros(0, dtype=np.int64)
+        for at in range(0, len(text), SPAN_CHARS):
+            code = np.frombuffer(text[at : at + SPAN_CHARS].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            symbol = np.where(code < len(_SYMBOLS), _SYMBOLS[np.minimum(code, len(_SYMBOLS) - 1)], _OTHER)
+            symbol = np.concatenate([last, symbol])
+            # Edges in a row are one edge.
+            symbol = symbol[np.concatenate([[True], (symbol[1:] != _EDGE) | (symbol[:-1] != _EDGE)])]
+            if len(symbol) > 2:
+                gram = (symbol[:-2] * _SIZE + symbol[1:-1]) * _SIZE + symbol[2:]
+                counts += np.bincount(gram, minlength=_SIZE**3)
+            last = symbol[-2:]
     seen = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["gram", "n"])
 
@@ -95,7 +102,8 @@ class Channel:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.word = lru_cache(100_000)(self._word)
+        # Words seen; no cache that holds the channel too, which would outlive its task.
+        self.known: dict[str, str] = {}
 
     def _lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For each place of the word, the letters that may have been meant (or nothing), with costs."""
@@ -142,6 +150,15 @@ class Channel:
             letters.append(last)
         return "".join(reversed(letters))
 
+    def word(self, word: str) -> str:
+        """``_word``, remembered."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            found = self.known[word] = self._word(word)
+        return found
+
     def _word(self, word: str) -> str:
         """A word in lower case, without signs around it, and decoded if it looks disguised."""
         low = word.lower()
@@ -281,7 +298,7 @@ def _found(batch: pa.RecordBatch, channel: Channel, finder) -> tuple[np.ndarray,
 def _counted(chars: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(chars)
-        for batch in steps(batches, "text", 1_000_000):
+        for batch in steps(batches, "text", 500_000):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
             clean, row, word = _word_lists(batch, channel)
             known: dict[str, int] = {}
@@ -334,7 +351,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Toxi
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, finder = Channel(chars_of), _finder(finder_of)
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", 1_000_000):
             row, piece = _found(batch, channel, finder)
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             own = [piece[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -1,6 +1,11 @@
+import gc
 import itertools
+import tracemalloc
+import weakref
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +122,43 @@ def test_a_very_long_word_is_looked_at_once():
     for word in ("ab-" * 350_000, "-" * 1_000_000 + "a", "é" * 1_000_000, "a_" * 500_000):
         assert channel.words([word])
     assert time.time() - begun < 10
+
+
+def test_characters_are_counted_in_spans():
+    """Spans count what the whole step counts, across their borders, with little memory."""
+    def counted(texts):
+        (out,) = toxicity._char_counts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+        return dict(zip(*(x.to_pylist() for x in out.columns), strict=True))
+
+    texts = ["Some  words, w\u00f6rds \U0001f600 \ud7ff and - -- 12 more", None, "", " a ", "b" * 50, ".", ". , ."] * 9
+    whole = counted(texts)
+    symbols = [0]
+    for char in " " + " ".join(x or "" for x in texts) + " ":
+        low = char.lower()
+        one = toxicity._symbol(low) if ord(char) < 0x300 else 27
+        if one or symbols[-1]:
+            symbols.append(one)
+    plain = Counter((a * 28 + b) * 28 + c for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False))
+    assert whole == plain
+    with pytest.MonkeyPatch.context() as patch:
+        for span in (1, 2, 3, 7):
+            patch.setattr(toxicity, "SPAN_CHARS", span)
+            assert counted(texts) == whole
+    text = "some words of a text " * 150_000
+    tracemalloc.start()
+    counted([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(text)
+
+
+def test_a_channel_ends_with_its_task():
+    channel = toxicity.Channel(np.zeros((28, 28, 28)))
+    assert channel.word("id10t") == channel.word("id10t")
+    gone = weakref.ref(channel)
+    gc.disable()
+    try:
+        del channel
+        assert gone() is None
+    finally:
+        gc.enable()
