@@ -1,4 +1,5 @@
 import inspect
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -245,3 +246,16 @@ def test_exemplars_never_leak(spark):
     assert [r["passage_id"] for r in hits.collect()] == [3]
     lists = retrieval.exemplar_lists(hits, exemplars).first()
     assert lists["id"] == 1 and lists["exemplars"][0]["response_bn"] == "big water"
+
+
+def test_a_slice_of_queries_takes_no_copy_of_the_passages():
+    rng = np.random.default_rng(5)
+    p, q = rng.random((32768, 256)), rng.random((64, 256))
+    tracemalloc.start()
+    rows, ids, scores, _ = block_topk(q, p, np.arange(len(p)), 3, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < p.nbytes
+    cosine = (q @ p.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :])
+    best = np.sort(cosine, axis=1)[:, ::-1][:, :3]
+    assert np.allclose(scores.reshape(64, 3), best, atol=1e-6) and (np.repeat(np.arange(64), 3) == rows).all()
