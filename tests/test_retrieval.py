@@ -259,3 +259,49 @@ def test_a_slice_of_queries_takes_no_copy_of_the_passages():
     cosine = (q @ p.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :])
     best = np.sort(cosine, axis=1)[:, ::-1][:, :3]
     assert np.allclose(scores.reshape(64, 3), best, atol=1e-6) and (np.repeat(np.arange(64), 3) == rows).all()
+
+
+def test_held_passages_keep_their_type_and_are_widened_by_tiles(monkeypatch):
+    rng = np.random.default_rng(6)
+    p, q = rng.random((300, 8)).astype(np.float32), rng.random((40, 8)).astype(np.float32)
+    listed = lambda x: pa.array(x.tolist(), pa.list_(pa.float32()))
+    held = pa.record_batch({"passage_id": np.arange(300), "part": np.zeros(300, np.int32), "vector": listed(p)})
+    vectors_, ids, part, keys = retrieval._held(held, 0)
+    assert vectors_.dtype == np.float32
+    norms = retrieval._norms(vectors_)
+    assert np.array_equal(norms, np.sqrt((p.astype(np.float64) ** 2).sum(axis=1)))
+    seen, topk = [], retrieval.block_topk
+
+    def watched(q, p, *rest, **more):
+        seen.append((len(p), p.dtype))
+        return topk(q, p, *rest, **more)
+
+    monkeypatch.setattr(retrieval, "TILE", 64)
+    monkeypatch.setattr(retrieval, "block_topk", watched)
+    asks = pa.record_batch({"vector": listed(q), "wanted": pa.nulls(40, pa.binary()), "kth": pa.nulls(40, pa.float64())})
+    found = retrieval._answers(asks, (vectors_, ids, part, keys, norms), 3, None, 0)
+    assert max(n for n, _ in seen) == 64 and {kind for _, kind in seen} == {np.dtype(np.float64)}
+    for a, b in zip(found, topk(q.astype(np.float64), p.astype(np.float64), ids, 3, None), strict=True):
+        assert np.allclose(a, b, atol=1e-6)
+
+
+def test_plans_of_a_search_start_no_python_workers(spark):
+    table = retrieval._plan_table(spark, {("a", 0): (2, 3), ("b", 7): (1, 1)})
+    assert "ExistingRDD" not in plan_text(table) and "LocalTableScan" in plan_text(table)
+    assert table.dtypes == [("source", "string"), ("cell", "int"), ("n_sub", "int"), ("n_chunk", "int")]
+    assert sorted(map(tuple, table.collect())) == [("a", 0, 2, 3), ("b", 7, 1, 1)]
+
+
+def test_an_encoder_is_given_bounded_parts_of_a_batch():
+    seen, texts = [], pa.array(["a b", None, "c"] * 2000)
+    encode = HashingEncoder(dim=8).load()
+
+    def watched(part):
+        seen.append(len(part))
+        return encode(part)
+
+    out = vectors.encoded(watched, texts)
+    assert max(seen) == vectors.ENCODED_ROWS < sum(seen) == 6000
+    assert out.type == pa.list_(pa.float32())
+    assert np.array_equal(np.array(out.to_pylist(), np.float32), encode(pd.Series(texts.to_pylist())))
+    assert len(vectors.encoded(watched, texts.slice(0, 0))) == 0
