@@ -47,6 +47,11 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_CHARS)
             yield batch.slice(a, b - a)
 
 
+def strings(column: pa.Array) -> list[str]:
+    """A column of strings as a list, without a Python object of Arrow's for each of them."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct words of a column of texts, the code of each word in order, and row offsets.
 
@@ -65,7 +70,7 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     coded = flat.dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), offsets
+    return strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64), offsets
 
 
 def mixed(*parts: np.ndarray | int) -> np.ndarray:

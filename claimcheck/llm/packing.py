@@ -9,18 +9,19 @@ capacities suit it best takes it.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import one_thread, steps, stored, table, words_of
+from claimcheck.llm.common import one_thread, steps, stored, strings, table, words_of
 
 SEQUENCE = 2048
 CLOSING_ID = 0
@@ -43,7 +44,7 @@ WEIGHTS = (1.0, 0.001, 0.1)
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Letters that no normal form changes and that have one lower case, then signs: two pieces at most.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"
 
 
 class WordTokenizer:
@@ -83,25 +84,40 @@ class WordTokenizer:
             sizes.append(np.bincount(np.array(coded.word_ids, dtype=np.int64), minlength=len(part)))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _merged(self, cut: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words given as letters and signs; a piece's last id, and no other, closes it."""
+    def _merged(self, letters: pa.Array, signs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words given as letters and signs: pieces that are merged once for all their words."""
+        signed = pc.greater(pc.binary_length(signs), 0)
+        coded = pa.concat_arrays([pc.utf8_lower(letters), signs.filter(signed)]).dictionary_encode()
+        ids, sizes = self._pieces(strings(coded.dictionary))
+        number, has = coded.indices.to_numpy(), signed.to_numpy(zero_copy_only=False)
+        first, second = number[: len(letters)], number[len(letters) :]
+        at = np.arange(len(letters)) + np.cumsum(has) - has
+        order = np.empty(len(number), dtype=np.int64)
+        order[at], order[at[has] + 1] = first, second
+        flat, _ = _taken(ids, np.cumsum(sizes) - sizes, sizes, order)
+        whole = sizes[first]
+        whole[has] += sizes[second]
+        return flat, whole
+
+    def _pieces(self, pieces_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces; the last id of each, and no other, closes it."""
         ids, sizes = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.int64)]
-        for at in range(0, len(cut), _CHUNK):
-            part = cut[at : at + _CHUNK]
-            pieces = [x.lower() for both in part for x in both if x]
-            coded = self.merger.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0]
+        for at in range(0, len(pieces_), _CHUNK):
+            part = pieces_[at : at + _CHUNK]
+            coded = self.merger.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0]
             ids.append(np.array(coded.ids, dtype=np.uint16))
-            last = np.cumsum([1 + bool(signs) for _, signs in part]) - 1
-            sizes.append(np.diff(np.flatnonzero(self.closes[ids[-1]])[last], prepend=-1))
+            sizes.append(np.diff(np.flatnonzero(self.closes[ids[-1]]), prepend=-1))
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _learn(self, words: list[str]) -> None:
         odd = words
         if self.merger:
-            found = [_PLAIN.fullmatch(w) for w in words]
-            plain = [m for m in found if m]
-            odd = [w for w, m in zip(words, found, strict=True) if not m]
-            self.new.add([m[0] for m in plain], *self._merged([m.groups() for m in plain]))
+            cut = pc.extract_regex(pa.array(words, pa.large_string()), _PLAIN)
+            plain = cut.is_valid()
+            cut, is_plain = cut.filter(plain), plain.to_numpy(zero_copy_only=False)
+            odd = list(compress(words, (~is_plain).tolist()))
+            letters, signs = (pc.struct_field(cut, x) for x in ("letters", "signs"))
+            self.new.add(list(compress(words, is_plain.tolist())), *self._merged(letters, signs))
         self.new.add(odd, *self._encode(odd))
 
     def known(self, words: list[str]) -> np.ndarray:
@@ -144,10 +160,15 @@ class _Words:
         self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
 
     def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = self.size[numbers]
-        ends = np.cumsum(sizes)
-        place = np.repeat(self.begin[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[place], sizes
+        return _taken(self.flat, self.begin, self.size, numbers)
+
+
+def _taken(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of these numbers, one after another, and how many each has."""
+    sizes = size[numbers]
+    ends = np.cumsum(sizes)
+    place = np.repeat(begin[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    return flat[place], sizes
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -111,3 +111,16 @@ def test_packed_keeps_capacities_that_bind(spark):
     assert len(got) == 50
     assert all(len(x) <= 2 and sum(n * n for n in x) <= 400 for x in full.values())
     assert len({r.sequence_id for r in packing.packed(docs).collect()}) == 1 < len(full)
+
+
+def test_pieces_are_merged_once_for_all_their_words():
+    words = ["Haus", "haus,", "HAUS.", "haus", "Über,", "über.", "x!?", "É", "é!?", "ÿ.", "ß,", "don't", "a1", "×"]
+    found = packing.WordTokenizer(public_tokenizers.path(packing.TOKENIZER))
+    seen, pieces = [], found._pieces
+    found._pieces = lambda part: (seen.extend(part), pieces(part))[1]
+    numbers = found.known(words)
+    ids, sizes = found.new.ids_of(numbers)
+    assert len(seen) == len(set(seen)) and {"haus", "über", ",", "!?"} <= set(seen)
+    want = [TOKENIZER.encode(w, add_special_tokens=False).ids for w in words]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert found.known([]).tolist() == []
