@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -146,6 +148,16 @@ def spanning(close: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the C library keep of freed memory.
+
+    A worker waits for further tasks of any stage, and what it keeps counts all the while.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def one_thread() -> None:
     """Tasks are the parallel unit: libraries inside them stay on their core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm.common import one_thread, steps, stored, strings, table, words_of
+from claimcheck.llm.common import give_back, one_thread, steps, stored, strings, table, words_of
 
 SEQUENCE = 2048
 CLOSING_ID = 0
@@ -29,7 +29,7 @@ CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs together.  Each group leaves about one sequence part-filled.
 GROUP = 8192
-#: Words a worker remembers, in each of two generations.
+#: Words a task remembers, in each of two generations.
 REMEMBERED = 300_000
 #: Words that are encoded at a time.
 _CHUNK = 16_384
@@ -135,6 +135,10 @@ class WordTokenizer:
         self._learn(fresh)
         return np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
 
+    def forget(self) -> None:
+        """Drop the words; the tokenizer itself stays."""
+        self.new, self.old = _Words(), _Words()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and where each row begins and the last one ends."""
         words, codes, offsets = words_of(texts)
@@ -175,38 +179,53 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def word_tokenizer(name: str) -> WordTokenizer:
-    """One tokenizer for each worker process; the file is the worker's own installed copy."""
+    """One tokenizer for each worker process; the file is the worker's own installed copy.
+
+    A worker outlives its tasks, so who asks for it forgets its words when done.
+    """
     if name not in _tokenizers:
         _tokenizers[name] = WordTokenizer(public_tokenizers.path(name))
     return _tokenizers[name]
 
 
+def _cutter(name: str, size: int, closing: int):
+    def rows_of(batch: pa.RecordBatch, tokenizer: WordTokenizer) -> pa.RecordBatch:
+        ids, offsets = tokenizer.encode(batch.column("text"))
+        ids = np.insert(ids, offsets[1:], np.uint32(closing)).astype("<u4", copy=False)
+        lengths = np.diff(offsets) + 1
+        counts = -(-lengths // size)
+        row = np.repeat(np.arange(len(counts)), counts)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = piece * size
+        length = np.minimum(lengths[row] - start, size)
+        begin = (np.cumsum(lengths) - lengths)[row] + start
+        sums = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+        columns = [pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, sums))]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(row)), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"]
+        )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = word_tokenizer(name)
+        try:
+            for batch in steps(batches, "text"):
+                yield rows_of(batch, tokenizer)
+                pa.default_memory_pool().release_unused()
+        finally:
+            tokenizer.forget()
+            give_back()
+
+    return cut
+
+
 def pieces(docs: DataFrame, name: str = TOKENIZER, size: int = SEQUENCE, closing: int = CLOSING_ID) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` for every piece of every row of ``docs``.
 
     ``start`` counts the document's ids before the piece, ``ids_crc32`` covers its ids as
     little-endian 32-bit numbers.  A null or empty text is the closing id alone.
     """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
-            ids, offsets = word_tokenizer(name).encode(batch.column("text"))
-            ids = np.insert(ids, offsets[1:], np.uint32(closing)).astype("<u4", copy=False)
-            lengths = np.diff(offsets) + 1
-            counts = -(-lengths // size)
-            row = np.repeat(np.arange(len(counts)), counts)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = piece * size
-            length = np.minimum(lengths[row] - start, size)
-            begin = (np.cumsum(lengths) - lengths)[row] + start
-            sums = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
-            columns = [pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, sums))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"]
-            )
-
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts.mapInArrow(_cutter(name, size, closing), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(

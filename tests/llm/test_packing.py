@@ -124,3 +124,28 @@ def test_pieces_are_merged_once_for_all_their_words():
     want = [TOKENIZER.encode(w, add_special_tokens=False).ids for w in words]
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
     assert found.known([]).tolist() == []
+
+
+def test_a_worker_holds_no_words_after_its_task():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["held words", None])], ["doc_id", "text"])
+    cut = packing._cutter(packing.TOKENIZER, packing.SEQUENCE, packing.CLOSING_ID)
+    own = packing.word_tokenizer(packing.TOKENIZER)
+    assert sum(x.num_rows for x in cut(iter([batch]))) == 2
+    assert not own.new.number and not own.old.number
+    stopped = cut(iter([batch, batch]))
+    next(stopped)
+    assert own.new.number
+    stopped.close()
+    assert not own.new.number and packing.word_tokenizer(packing.TOKENIZER) is own
+
+
+def test_words_that_are_forgotten_are_learned_again():
+    import pyarrow as pa
+
+    own = packing.WordTokenizer(public_tokenizers.path(packing.TOKENIZER))
+    first, _ = own.encode(pa.array(["Some words, twice"]))
+    own.forget()
+    assert not own.new.number and not own.old.number
+    assert own.encode(pa.array(["Some words, twice"]))[0].tolist() == first.tolist()
