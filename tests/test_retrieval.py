@@ -298,3 +298,47 @@ def test_an_encoder_is_given_bounded_parts_of_a_batch():
     assert out.type == pa.list_(pa.float32())
     assert np.array_equal(np.array(out.to_pylist(), np.float32), encode(pd.Series(texts.to_pylist())))
     assert len(vectors.encoded(watched, texts.slice(0, 0))) == 0
+
+
+def _odd_rows(kind: str, n: int, dim: int, rng) -> np.ndarray:
+    rows = rng.integers(0, 3, (n, dim)).astype(np.float64) if kind != "real" else rng.normal(size=(n, dim))
+    rows[rng.integers(n)] = 0
+    if kind == "large":  # their products do not fit in half a number
+        rows[::3] *= 1500
+    if kind == "odd":
+        for x in (np.nan, np.inf, 1e40, 1e-40, 1e160, 1e-160):
+            rows[rng.integers(n), rng.integers(dim)] = x
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["counts", "real", "large", "odd"])
+@pytest.mark.parametrize("threshold", [0.5, None, -0.2])
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+def test_single_precision_loses_no_hit(kind, threshold):
+    rng = np.random.default_rng(7)
+    for dim, n, m in ((1, 9, 5), (3, 41, 12), (24, 60, 20), (24, 3, 20)):
+        q, p, ids = _odd_rows(kind, m, dim, rng), _odd_rows(kind, n, dim, rng), rng.permutation(n)
+        norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((p * p).sum(axis=1))[None, :]
+        raw = np.stack([(row * p).sum(axis=1) for row in q])
+        scores = retrieval._rounded(np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0))
+        want = []
+        for row in range(m):
+            ranked = sorted((-s, i) for s, i in zip(scores[row], ids) if s >= (-2 if threshold is None else threshold))
+            want += [(row, i, -s) for s, i in ranked[:4]]
+        rows, found, values, _ = block_topk(q, p, ids, 4, threshold)
+        assert [(r, i) for r, i, _ in want] == list(zip(rows, found))
+        assert np.allclose([s for _, _, s in want], values, atol=2e-6)
+
+
+def test_few_pairs_are_scored_in_double_precision(monkeypatch):
+    rng, seen, real = np.random.default_rng(3), [], retrieval._cosine
+
+    def watched(*args):
+        out = real(*args)
+        seen.append(out.size)
+        return out
+
+    monkeypatch.setattr(retrieval, "_cosine", watched)
+    q, p = rng.poisson(0.15, (50, 256)).astype(np.float64), rng.poisson(0.8, (5000, 256)).astype(np.float64)
+    assert len(block_topk(q, p, np.arange(5000), 5, 0.2)[0]) == 250
+    assert sum(seen) < 50 * 5000 / 20
