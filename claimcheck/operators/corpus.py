@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimcheck.functions import parsing, prompts
@@ -13,6 +13,7 @@ from claimcheck.operators.cascade import run_stage
 from claimcheck.rules import buckets
 from claimcheck.rules.categories import BENGALI, REGION_KEYWORDS, CategoryPack, ClassRule
 from claimcheck.scorers import Scorer
+from claimcheck.session import materialize_alone
 
 CHUNKS_PER_DOC = 10_000_000
 
@@ -293,6 +294,36 @@ def sort_log(sorted_rows: DataFrame) -> DataFrame:
     )
 
 
+def _has_facts() -> Column:
+    return (F.col("parsed_bucket") != "skip") & (F.size("facts") > 0)
+
+
+def _emptied(keys: Sequence[str]) -> tuple[Column, Column]:
+    """The first text key that an object has, and the object without the text that facts replace."""
+    present = F.coalesce(
+        *[F.when(F.map_contains_key("fields", F.lit(k)), F.lit(k)) for k in keys], F.lit("")
+    )
+    return present, F.transform_values(
+        "fields", lambda k, v: F.when(~_has_facts() | (k != present), v)
+    )
+
+
+def stored_sort(rows: Callable[[], DataFrame], spark: SparkSession, keys: Sequence[str] = buckets.TEXT_KEYS) -> DataFrame:
+    """Sorted lines as a stage: ``bucket_counts``, ``sort_log`` and ``fact_rows`` read them as they read ``rows``.
+
+    A text is stored once where columns repeat it: the facts are those of ``reworded_facts``, and the
+    text that facts replace is left out of ``fields``.  The stages that ``rows`` stores are deleted.
+    """
+
+    def slim() -> DataFrame:
+        found = F.size("facts") > 0
+        return rows().withColumns({"fields": _emptied(keys)[1], "facts": found})
+
+    kept = materialize_alone(spark, slim, "sort")
+    nothing = F.array().cast("array<string>")
+    return kept.withColumn("facts", F.when(F.col("facts"), F.col("reworded_facts")).otherwise(nothing))
+
+
 def fact_rows(sorted_rows: DataFrame, keys: Sequence[str] = buckets.TEXT_KEYS) -> DataFrame:
     """One output object per fact; lines without facts keep their object as it is.
 
@@ -300,14 +331,9 @@ def fact_rows(sorted_rows: DataFrame, keys: Sequence[str] = buckets.TEXT_KEYS) -
     text goes before the facts spread, so an object travels with each fact without it.
     ``_sort_note`` has the ``_sort_*`` columns as JSON, made once for all facts of a line.
     """
-    has_facts = (F.col("parsed_bucket") != "skip") & (F.size("facts") > 0)
+    has_facts = _has_facts()
     facts = F.when(has_facts, F.col("facts")).otherwise(F.array(F.lit(None).cast("string")))
-    present = F.coalesce(
-        *[F.when(F.map_contains_key("fields", F.lit(k)), F.lit(k)) for k in keys], F.lit("")
-    )
-    emptied = F.transform_values(
-        "fields", lambda k, v: F.when(~has_facts | (k != present), v)
-    )
+    present, emptied = _emptied(keys)
     notes = {
         "_sort_bucket": F.col("parsed_bucket"),
         "_sort_line": F.col("line_no"),

@@ -1250,7 +1250,8 @@ def sort_resumed(spark, sf_dir):
     written = sort.read_buckets(spark, os.path.join(root, "out"), log_path)
     written = written.groupBy("bucket").agg(F.count("*").alias("n_written"))
     log = sort.earlier_log(spark, log_path).withColumnRenamed("parsed_bucket", "bucket")
-    return log.join(counts, "bucket").join(written, "bucket").select(
+    # One row for each bucket, so the log is not dealt out by bucket.
+    return log.join(F.broadcast(counts), "bucket").join(F.broadcast(written), "bucket").select(
         "bucket",
         "input_text",
         "error",

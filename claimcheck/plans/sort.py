@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from claimcheck.operators import corpus
 from claimcheck.rules import buckets
 from claimcheck.scorers import Scorer
-from claimcheck.session import exists, materialize
+from claimcheck.session import exists, own_stages
 from claimcheck.sources import corpus as corpus_files
 
 LINE = ("file", "line_no")
@@ -53,17 +53,19 @@ def sort_files(
     lines = corpus_files.read_numbered_lines(spark, path)
     if log is not None:
         lines = corpus.unsorted_lines(lines, log, LINE)
-    rows = materialize(
-        corpus.sort_lines(corpus.read_sort_lines(lines, keys, most), scorer), "sort"
-    )
-    counts = corpus.bucket_counts(rows, log)
-    if dry_run:
-        return counts
-    # Before the log grows by this run's rows.
-    counts = materialize(counts, "sort-counts")
     run = f"run={time.time_ns() // 1_000_000:013d}-{uuid.uuid4().hex[:8]}"
-    corpus_files.write_buckets(
-        corpus.fact_rows(rows, keys), os.path.join(root, run), annotate=annotate
+    stage = lambda: corpus.stored_sort(
+        lambda: corpus.sort_lines(corpus.read_sort_lines(lines, keys, most), scorer), spark, keys
     )
-    corpus.sort_log(rows).write.parquet(os.path.join(log_path, run))
+    if dry_run:
+        return corpus.bucket_counts(stage(), log)
+    with own_stages(spark):
+        rows = stage()
+        # Before the log grows by this run's rows; a row for each bucket.
+        counts = corpus.bucket_counts(rows, log)
+        counts = spark.createDataFrame(counts.collect(), counts.schema)
+        corpus_files.write_buckets(
+            corpus.fact_rows(rows, keys), os.path.join(root, run), annotate=annotate
+        )
+        corpus.sort_log(rows).write.option("compression", "zstd").parquet(os.path.join(log_path, run))
     return counts

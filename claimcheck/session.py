@@ -11,13 +11,15 @@ import threading
 import uuid
 import zipfile
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _stage_paths: dict[str, list[str]] = {}
 _owned = threading.local()
+#: Lets Spark delete the shuffle files of a job when the job ends, and not when the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "8", app: str = "claimcheck", memory: str = "16g") -> SparkSession:
@@ -63,15 +65,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"claimcheck-{name}-{uuid.uuid4().hex}")
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Store a stage as a table in the shared folder and read it back.
 
     Cuts lineage (a lost executor costs no recompute), lets several branches read the
-    stage, and keeps later filters from being pushed through its expressions.
+    stage, and keeps later filters from being pushed through its expressions.  What was
+    shuffled for it is not kept beside it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with setting(spark, SHUFFLE_CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
     _stage_paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     getattr(_owned, "paths", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -114,6 +129,15 @@ def own_stages(spark: SparkSession) -> Iterator[None]:
         _delete(spark, mine)
 
 
+def materialize_alone(spark: SparkSession, build: Callable[[], DataFrame], name: str = "stage") -> DataFrame:
+    """``materialize`` what ``build`` makes, and delete the stages that it stored on the way."""
+    with own_stages(spark):
+        out = materialize(build(), name)
+        path = _owned.paths.pop()
+    getattr(_owned, "paths", []).append(path)
+    return out
+
+
 def plan_text(df: DataFrame) -> str:
     """The formatted physical plan as text (for tests that guard plan shape)."""
     out = io.StringIO()

@@ -1,11 +1,15 @@
 """The sort job over files, its log, and what a dead run leaves."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from claimcheck import session
+from claimcheck.operators import corpus
 from claimcheck.plans import sort
-from claimcheck.scorers import ColumnScorer
+from claimcheck.scorers import BatchScorer, ColumnScorer
 
 ANSWER = ColumnScorer(
     ("input_text",),
@@ -57,3 +61,46 @@ def test_annotated_runs_are_read_back(spark, tmp_path):
         {"text": "broken", "_sort_bucket": "skip", "_sort_line": 2, "_sort_model_output": "invalid_json"}
     ]
     assert sum(f.stat().st_size for f in (tmp_path / "out").rglob("part-*")) < len(facts) * len(answer) / 20
+
+
+def test_a_job_leaves_no_stage_behind(spark, tmp_path, monkeypatch):
+    path, root, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"text": "one; two"}\n{"text": ""}\nbroken\n')
+    stored, real = [], session.scratch_path
+
+    def watched(spark, name):
+        stored.append(real(spark, name))
+        return stored[-1]
+
+    def model():
+        return lambda rows: "bucket: grammar\nreworded:\n- " + rows["input_text"].str.replace("; ", "\n- ")
+
+    monkeypatch.setattr(session, "scratch_path", watched)
+    scorer = BatchScorer(("input_text",), T.StringType(), model)
+    assert counts(sort.sort_files(spark, path, root, log, scorer)) == {"grammar": 1, "skip": 2}
+    assert len(stored) >= 2 and not any(session.exists(spark, x) for x in stored)
+
+
+def test_a_stored_sort_reads_like_the_sorted_lines(spark):
+    values = ['{"text": "one; two", "n": [1]}', '{"passage": "three", "text": " "}', "[1]", "bare", '{"n": null}', '{"content": "  ; "}']
+    lines = spark.createDataFrame(list(enumerate(values)), "line_no long, value string")
+    rows = corpus.sort_lines(corpus.read_sort_lines(lines), ANSWER)
+    kept = corpus.stored_sort(lambda: rows, spark)
+    shown = lambda df: sorted(map(repr, df.collect()))
+    assert shown(corpus.fact_rows(kept)) == shown(corpus.fact_rows(rows))
+    assert shown(corpus.sort_log(kept)) == shown(corpus.sort_log(rows))
+    assert counts(corpus.bucket_counts(kept)) == counts(corpus.bucket_counts(rows))
+    assert shown(kept.select("line_no", "facts", "error")) == shown(rows.select("line_no", "facts", "error"))
+
+
+def test_a_stage_keeps_no_shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    before = {str(x) for x in str(files().mkString("\n")).split("\n")}
+    left = lambda: [x for x in str(files().mkString("\n")).split("\n") if "shuffle_" in x and x not in before]
+    kept = session.materialize(spark.range(100_000).repartition(3, "id"), "shuffled")
+    for _ in range(50):
+        if not left():
+            break
+        time.sleep(0.1)
+    assert not left() and kept.count() == 100_000
