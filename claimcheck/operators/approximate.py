@@ -6,6 +6,9 @@ large the index grows; the number of tables follows from the planes, so that a h
 similarity ``similar`` shares a bucket of some table with probability ``recall``.  Whatever
 meets in a bucket is compared exactly: a hit's score is the same as in the exact join, only
 hits can be missing.
+
+A vector travels once for each table.  The tables are gone through a few at a time, so what is on
+disk at once is a few copies of the vectors, however many tables there are.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimcheck.operators.retrieval import HIT_COLUMNS, SCORE_DIGITS, block_topk
+from claimcheck.session import materialize
 
 SEED = 20240517
 
@@ -36,6 +40,8 @@ class LshLimits:
     block_rows: int = 4096
     #: Planes at most; beyond them buckets grow, and are cut into blocks, instead of being lost.
     max_bits: int = 24
+    #: Tables whose copies of the vectors are on disk at once.
+    copies: int = 8
 
 
 def bits_for(rows: int, limits: LshLimits = LshLimits()) -> int:
@@ -57,40 +63,49 @@ def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((tables, bits, dim)).reshape(tables * bits, dim)
 
 
-def bucket_keys(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """A row for each vector and a column for each table: the signs as one number."""
-    side = vectors @ _planes(vectors.shape[1], bits, tables).T > 0
-    return side.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+def bucket_keys(vectors: np.ndarray, bits: int, tables: int, some: range | None = None) -> np.ndarray:
+    """A row for each vector and a column for each table, or for some of them: the signs as one number."""
+    some = range(tables) if some is None else some
+    planes = _planes(vectors.shape[1], bits, tables)[some.start * bits : some.stop * bits]
+    side = vectors @ planes.T > 0
+    return side.reshape(len(vectors), len(some), bits) @ (1 << np.arange(bits, dtype=np.int64))
+
 
+def _dealt(rows: DataFrame, plan: dict[str, tuple[int, int]], first: int, last: int, only: bool = False) -> DataFrame:
+    """Each row once for every table from ``first`` up to ``last``: ``table`` and ``bucket``.
 
-def _dealt(rows: DataFrame, plan: dict[str, tuple[int, int]]) -> DataFrame:
-    """Each row once for every table: ``table`` and ``bucket``.  ``plan``: planes and tables by source."""
+    ``plan``: planes and tables by source.  ``only`` gives the names of the buckets without the rows.
+    """
+    kept = ["source", "dim"] if only else rows.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             source = batch.column("source").to_numpy(zero_copy_only=False)
             sizes = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
             for name, (bits, tables) in plan.items():
-                for dim in np.unique(sizes[source == name]):
+                some = range(first, min(last, tables))
+                for dim in np.unique(sizes[source == name]) if some else ():
                     own = np.flatnonzero((source == name) & (sizes == dim))
                     part = batch.take(pa.array(own))
                     flat = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                    keys = bucket_keys(flat.reshape(len(own), int(dim)), bits, tables)
-                    for t in range(tables):
-                        columns = [*part.columns, pa.array(np.full(len(own), t, np.int32)), pa.array(keys[:, t])]
-                        yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "table", "bucket"])
+                    keys = bucket_keys(flat.reshape(len(own), int(dim)), bits, tables, some)
+                    columns = [part.column(x) for x in kept]
+                    for i, t in enumerate(some):
+                        extra = [pa.array(np.full(len(own), t, np.int32)), pa.array(keys[:, i])]
+                        yield pa.RecordBatch.from_arrays([*columns, *extra], [*kept, "table", "bucket"])
 
     extra = [T.StructField("table", T.IntegerType()), T.StructField("bucket", T.LongType())]
-    return rows.mapInArrow(deal, T.StructType([*rows.schema.fields, *extra]))
+    return rows.mapInArrow(deal, T.StructType([*(rows.schema[x] for x in kept), *extra]))
 
 
 _CELL = ["source", "dim", "table", "bucket"]
 
 
 def _cells(q: DataFrame, p: DataFrame) -> DataFrame:
-    """Buckets in which a query meets a passage, with how many of each there are."""
+    """Buckets with how many queries and passages they hold."""
     one = q.groupBy(*_CELL).agg(F.count("*").alias("n_query"))
-    return one.join(p.groupBy(*_CELL).agg(F.count("*").alias("n_index")), _CELL)
+    both = one.join(p.groupBy(*_CELL).agg(F.count("*").alias("n_index")), _CELL, "full")
+    return both.na.fill(0, ["n_query", "n_index"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -171,14 +186,21 @@ class LshJoin:
                 F.col(ident).cast("long").alias("id"), "source", F.col(vector).cast("array<double>").alias("vector"),
                 F.size(vector).alias("dim"), F.lit(asks).alias("asks"), *hashed,
             )
-            return _dealt(rows, self.plan)
+            return rows
 
         self.q = side(queries, "qid", "qvec", [a for a, _ in exclude], True)
         self.p = side(index, "passage_id", "embedding", [b for _, b in exclude], False)
 
+    def _cells(self) -> DataFrame:
+        return _cells(*(_dealt(rows, self.plan, 0, self._tables(), only=True) for rows in (self.q, self.p)))
+
+    def _tables(self) -> int:
+        return max((tables for _, tables in self.plan.values()), default=0)
+
     def work(self) -> DataFrame:
         """``source, pairs``: how many pairs the tables bring together, a pair once for each table."""
-        return _cells(self.q, self.p).groupBy("source").agg(F.sum(F.col("n_query") * F.col("n_index")).alias("pairs"))
+        met = self._cells().where("n_query > 0 AND n_index > 0")
+        return met.groupBy("source").agg(F.sum(F.col("n_query") * F.col("n_index")).alias("pairs"))
 
     def hits(self) -> DataFrame:
         """``qid, source, passage_id, score, rank`` as the exact join gives them, some may be missing.
@@ -187,13 +209,27 @@ class LshJoin:
         one task, so equal or very similar vectors that fill a bucket are no task of their own.
         """
         limit = self.limits.block_rows
-        cells = _cells(self.q, self.p)
-        blocks = lambda n: F.ceil(F.col(n) / limit).cast("int")
-        cells = cells.select(*_CELL, blocks("n_query").alias("n_query"), blocks("n_index").alias("n_index"))
+        # A cell that is cut holds more than a block, so there are few of them; the others need no look.
+        cut = self._cells().where((F.col("n_query") > limit) | (F.col("n_index") > limit))
+        blocks = lambda n: F.ceil(F.col(n) / limit).cast("int").alias(n)
+        cut = materialize(cut.select(*_CELL, blocks("n_query"), blocks("n_index")), "cut-cells")
+        step, tables = self.limits.copies, self._tables()
+        found = [self._found(cut, first, first + step) for first in range(0, max(tables, 1), step)]
+        if len(found) > 1:
+            found = [materialize(self._best(x), "lsh-hits") for x in found]
+        return self._best(functools.reduce(DataFrame.union, found))
+
+    def _found(self, cut: DataFrame, first: int, last: int) -> DataFrame:
+        """Hits of the tables from ``first`` up to ``last``, the best of each task."""
         own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        q = self.q.join(cells, _CELL).withColumn("chunk", own("n_query")).withColumn("sub", all_("n_index"))
-        p = self.p.join(cells, _CELL).withColumn("sub", own("n_index")).withColumn("chunk", all_("n_query"))
+
+        def placed(rows: DataFrame) -> DataFrame:
+            rows = _dealt(rows, self.plan, first, last).join(F.broadcast(cut), _CELL, "left")
+            return rows.na.fill(1, ["n_query", "n_index"]).where("n_query > 0 AND n_index > 0")
+
+        q = placed(self.q).withColumn("chunk", own("n_query")).withColumn("sub", all_("n_index"))
+        p = placed(self.p).withColumn("sub", own("n_index")).withColumn("chunk", all_("n_query"))
         task: Column = F.xxhash64(*_CELL, "sub", "chunk").alias("task")
         keys = [f"_k{i}_{x}" for i in range(self.n_keys) for x in "ab"]
         columns = [task, "source", "asks", "id", "vector", *keys]
@@ -206,8 +242,10 @@ class LshJoin:
                 T.StructField("rank", T.IntegerType()),
             ]
         )
-        found = _compared(q.select(*columns).union(p.select(*columns)), self.k, self.threshold, self.n_keys, schema)
-        found = found.drop("rank").distinct()
+        return _compared(q.select(*columns).union(p.select(*columns)), self.k, self.threshold, self.n_keys, schema)
+
+    def _best(self, found: DataFrame) -> DataFrame:
+        found = found.select(*HIT_COLUMNS[:-1]).distinct()
         order = Window.partitionBy("qid", "source").orderBy(F.desc("score"), F.asc("passage_id"))
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k).select(*HIT_COLUMNS)
 

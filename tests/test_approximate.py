@@ -76,3 +76,26 @@ def test_odd_vectors_and_no_rows(spark):
     assert {pid for _, pid in found} <= {1, 2} and {qid for qid, _ in found} <= {1, 3}
     assert LshJoin(q, p.limit(0), sources=["s"]).hits().collect() == []
     assert LshJoin(q.limit(0), p, sources=["s"]).hits().collect() == []
+
+
+@pytest.mark.parametrize("block_rows", [5, 4096])
+def test_a_few_tables_at_a_time_find_the_same(spark, monkeypatch, block_rows):
+    rng, dealt, real = np.random.default_rng(9), [], approximate._dealt
+    passages = [(k, f"s{k % 2}", rng.standard_normal(8).tolist(), f"t{k % 3}") for k in range(400)]
+    passages += [(k, "s0", [0.0] * 8, "t") for k in range(400, 420)]  # a full bucket that no query is in
+    queries = [(k, p[1], (np.array(p[2]) + 0.1).tolist(), p[3]) for k, p in enumerate(passages[:200])]
+    q, p = frames(spark, queries, passages)
+
+    def watched(rows, plan, first, last, only=False):
+        if not only:
+            dealt.append(min(last, max(t for _, t in plan.values())) - first)
+        return real(rows, plan, first, last, only)
+
+    monkeypatch.setattr(approximate, "_dealt", watched)
+    options = {"sources": ["s0", "s1"], "k": 3, "threshold": 0.3, "similar": 0.7, "exclude": [("mine", "yours")]}
+    got = {}
+    for copies in (2, 1000):
+        limits = LshLimits(bucket_rows=16, block_rows=block_rows, copies=copies)
+        got[copies] = sorted(map(tuple, LshJoin(q, p, limits=limits, **options).hits().collect()))
+        assert max(dealt) <= copies and (copies > 2 or sum(dealt) > 12)
+    assert got[2] == got[1000] and len(got[2]) > 300
